@@ -1,4 +1,216 @@
-"""Queries over the test tables, by name, and the same in SQL."""
+"""Queries over the test tables, one for each operator, and the same in SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import paths, scope
+from loomgraph.operators import graph as gr
+from loomgraph.operators import lint, walks
+from loomgraph.sources import derived
+from loomgraph.sources.notes import NO_FRONT
+
+AS_OF = "1998-06-01"
+OPEN_ORDERS = {"status": "O"}
+
+
+def _n(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.inventory(derived.order_chain(spark, sf_dir))
+
+
+def edges_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.edges_by_type(derived.order_chain(spark, sf_dir))
+
+
+def inverse_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.inverse_relations(derived.order_chain(spark, sf_dir)).select("id", "type", "target", "evidence")
+
+
+def active_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.order_chain(spark, sf_dir).active.select(F.col("path").alias("id"))
+
+
+def scope_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = derived.order_chain(spark, sf_dir).edges
+    return e.select(F.col("src_id").alias("source"), F.col("dst_id").alias("target"), scope.overlaps(F.col("eff_scope"), F.col("dst_scope")).alias("overlaps"), scope.text(F.col("eff_scope")).alias("scope"))
+
+
+def scope_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.scope_mismatches(derived.order_chain(spark, sf_dir)).select("severity", "kind", "source", "target", "message")
+
+
+def broken_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.broken_targets(derived.references(spark, sf_dir)).select("source", "target", "message")
+
+
+def competing_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.competing_pairs(derived.order_chain(spark, sf_dir, ties=True))
+
+
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.contradiction_pairs(derived.opinions(spark, sf_dir))
+
+
+def supersession_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.id_cycles(derived.part_cycles(spark, sf_dir)).select(F.array_join("cycle", " -> ").alias("cycle"), F.size("cycle").cast("long").alias("n"))
+
+
+def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _n(lint.findings(derived.order_chain(spark, sf_dir, ties=True)), "severity", "kind")
+
+
+def current_all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.current(derived.order_chain(spark, sf_dir)).select("seed", "status", "active_guidance_id", "hops")
+
+
+def current_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.current(derived.order_chain(spark, sf_dir), OPEN_ORDERS).select("seed", "status", "active_guidance_id", "hops")
+
+
+def current_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _n(walks.current(derived.order_chain(spark, sf_dir, ties=True)), "status", "conflict")
+
+
+def current_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.current(derived.opinions(spark, sf_dir)).select("seed", "status", "conflict")
+
+
+def current_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.advisories(derived.order_chain(spark, sf_dir), OPEN_ORDERS).select(F.col("path").alias("id"), "advisory")
+
+
+def lineage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.chains(derived.order_chain(spark, sf_dir)).select("root", "pos", "id", "previous", "next")
+
+
+def lineage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.chains(derived.order_chain(spark, sf_dir)).select("id", "adopted_evidence", "superseding_evidence")
+
+
+def historical_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.historical(derived.order_chain(spark, sf_dir), AS_OF)
+
+
+def historical_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _n(historical_as_of(spark, sf_dir), "status")
+
+
+def impact_from_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = spark.createDataFrame([("region-1",)], "node string")
+    out = walks.impact(derived.foreign_keys(spark, sf_dir), seed)
+    return out.select("node", F.col("depth").cast("long").alias("depth"), F.array_join("trail", " > ").alias("trail"))
+
+
+def impact_depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _n(impact_from_region(spark, sf_dir), "depth")
+
+
+def export_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = derived.references(spark, sf_dir).relations
+    return r.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("evidence").isNotNull()).alias("with_evidence"), F.count_if(F.col("rel_scope").isNotNull()).alias("with_scope"))
+
+
+def note_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.read(spark, sf_dir, "part").select("p_partkey", paths.slug(F.col("p_name")).alias("slug"))
+
+
+def _url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/./x/../y//note.md")).alias("p"))
+
+
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _url_paths(spark, sf_dir).select("page_id", paths.normalize(F.col("p")).alias("path"), paths.normalize(F.concat(F.lit("../"), F.col("p"))).alias("outside"))
+
+
+def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paths.normalize(F.col("p"))
+    return _url_paths(spark, sf_dir).select("page_id", paths.relative(F.lit("index/all"), p).alias("from_index"), paths.relative(F.lit(""), p).alias("from_root"))
+
+
+def malformed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = derived.read(spark, sf_dir, "documents")
+    bad = d.where(~F.col("text").startswith("---")).select(key_path().alias("path"), F.lit(NO_FRONT).alias("error"))
+    g = gr.Graph(derived.references(spark, sf_dir).nodes, bad)
+    return lint.malformed_files(g).select("kind", "source", "message")
+
+
+def key_path():
+    return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+
+
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, competing_successors, contradictions, supersession_cycles, lint_summary, current_all_seeds, current_scoped, current_conflicts, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
+
+_CHAIN = """
+o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
+chain as (select *, 'order-' || k as id, lag(k) over w as before, lead(k) over w as after, lag(st) over w as before_st, lag(pr) over w as before_pr, row_number() over w - 1 as pos,
+  first_value(k) over w as root, last_value(k) over (w rows between unbounded preceding and unbounded following) as tip, count(*) over (partition by c) as len from o window w as (partition by c order by day, k))"""
+_TIES = """
+o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, cast(o_orderdate as date) as day from orders),
+tie as (select a.*, max_by(b.k, (b.day, b.k)) as before from o a left join o b on a.c = b.c and b.day < a.day group by all),
+edge as (select t.k as src, t.before as dst, t.st, t.pr, p.st as dst_st, p.pr as dst_pr from tie t join o p on p.k = t.before),
+act as (select k from o where k not in (select dst from edge where st = dst_st and pr = dst_pr)),
+pair as (select a.dst, a.src as s1, b.src as s2 from edge a join edge b on a.dst = b.dst and a.src < b.src and a.st = b.st and a.pr = b.pr where a.src in (select k from act) and b.src in (select k from act))"""
+_STEP = """
+hit as (select 'order-' || k as src, 'order-' || before as dst from chain where before is not null and st = 'O'),
+miss as (select distinct 'order-' || before as dst from chain where before is not null and st <> 'O'),
+walk(seed, here, hops) as (select id, id, 0 from chain union all select seed, src, hops + 1 from walk join hit on here = dst)"""
+_FK = """
+fk as (select 'nation-' || n_nationkey as src, 'region-' || n_regionkey as dst from nation
+  union all select 'customer-' || c_custkey, 'nation-' || c_nationkey from customer union all select 'supplier-' || s_suppkey, 'nation-' || s_nationkey from supplier
+  union all select 'order-' || o_orderkey, 'customer-' || o_custkey from orders union all select distinct 'line-' || l_orderkey || '-' || l_linenumber, 'order-' || l_orderkey from lineitem),
+walk(node, depth, trail) as (select 'region-1', 0, 'region-1' union all select src, depth + 1, trail || ' > ' || src from walk join fk on node = dst)"""
+_OPINION = """
+d as (select doc_id, lang, source, quality, toxic, lead(doc_id) over w as t, lead(toxic) over w as tt from documents join labels using (doc_id) window w as (partition by lang, source order by doc_id)),
+con as (select doc_id as a, t as b from d where quality = 1 and toxic = 0 and tt = 1)"""
+
+SQL = {
+    "inventory_counts": "select count(*) as total_nodes, count(*) - count(distinct o_custkey) as total_edges from orders",
+    "edges_by_type": "select 'supersedes' as type, count(*) - count(distinct o_custkey) as n from orders",
+    "inverse_relations": f"with {_CHAIN} select 'order-' || before as id, 'superseded_by' as type, id as target, 'clerk-' || c as evidence from chain where before is not null",
+    "active_nodes": f"with {_CHAIN} select id from chain where k not in (select before from chain where before is not null and st = before_st and pr = before_pr)",
+    "scope_overlap_pairs": f"with {_CHAIN} select id as source, 'order-' || before as target, st = before_st and pr = before_pr as overlaps, 'priority=' || pr || ', status=' || st as scope from chain where before is not null",
+    "scope_mismatch": f"""with {_CHAIN} select 'error' as severity, 'scope_mismatch' as kind, id as source, 'order-' || before as target,
+  'Node ''' || id || ''' cannot supersede ''order-' || before || ''': conflicting scopes ({{"priority": "' || pr || '", "status": "' || st || '"}} vs {{"priority": "' || before_pr || '", "status": "' || before_st || '"}})' as message
+  from chain where before is not null and not (st = before_st and pr = before_pr)""",
+    "broken_targets": """select 'doc-' || doc_id as source, 'doc-' || (2 * doc_id + 1) as target,
+  'Node ''doc-' || doc_id || ''' has relation ''depends_on'' targeting ''doc-' || (2 * doc_id + 1) || ''' which does not resolve to any note in the vault' as message from documents where 2 * doc_id + 1 not in (select doc_id from documents)""",
+    "competing_successors": f"with {_TIES} select 'order-' || dst as predecessor, least('order-' || s1, 'order-' || s2) as source, greatest('order-' || s1, 'order-' || s2) as target from pair",
+    "contradictions": f"with {_OPINION} select 'doc-' || a as source, 'doc-' || b as target from con where a % 7 <> 0 and b % 7 <> 0",
+    "supersession_cycles": """
+with recursive n as (select count(*) as n from part), e as (select p_partkey as s, (p_partkey * p_partkey + 1) % n as d from part, n),
+reach(s, d) as (select s, d from e union select reach.s, e.d from reach join e on reach.d = e.s),
+cyc as (select s as k from reach where s = d), grp as (select k, min('part-' || d) as low, count(*) as n from cyc join reach on s = k and d in (select k from cyc) group by k),
+walk(low, here, i) as (select distinct low, cast(replace(low, 'part-', '') as bigint), 0 from grp union all select low, d, i + 1 from walk join e on here = s where 'part-' || d <> low)
+select string_agg('part-' || here, ' -> ' order by i) as cycle, count(*) as n from walk group by low""",
+    "lint_summary": f"""with {_TIES} select 'error' as severity, 'scope_mismatch' as kind, count(*) as n from edge where not (st = dst_st and pr = dst_pr) having count(*) > 0
+  union all select 'error', 'conflicting_assertion', count(*) from pair having count(*) > 0""",
+    "current_all_seeds": f"with {_CHAIN} select id as seed, case when after is null then 'current' else 'superseded' end as status, 'order-' || tip as active_guidance_id, len - 1 - pos as hops from chain",
+    "current_scoped": f"""with recursive {_CHAIN}, {_STEP}
+select seed, case when hops > 0 then 'superseded' when miss.dst is not null then 'current_in_scope' else 'current' end as status, here as active_guidance_id, cast(hops as bigint) as hops
+from (select seed, max_by(here, hops) as here, max(hops) as hops from walk group by seed) left join miss on miss.dst = seed""",
+    "current_contradictions": f"""with {_OPINION}, hit as (select a as k from con where b % 7 <> 0 union select b from con where a % 7 <> 0)
+select 'doc-' || doc_id as seed, case when k is null then 'current' else 'unresolved_conflict' end as status, case when k is not null then 'contradiction' end as conflict from d left join hit on k = doc_id""",
+    "current_advisories": f"with {_CHAIN} select 'order-' || before as id, 'A successor exists in another scope: ''' || id || ''' (scope: [priority=' || pr || ', status=' || st || '])' as advisory from chain where before is not null and st <> 'O'",
+    "lineage_chain": f"with {_CHAIN} select 'order-' || root as root, pos, id, 'order-' || before as previous, 'order-' || after as next from chain",
+    "lineage_evidence": f"with {_CHAIN} select id, case when before is not null then 'clerk-' || c end as adopted_evidence, case when after is not null then 'clerk-' || c end as superseding_evidence from chain",
+    "historical_as_of": f"""with {_CHAIN}, nxt as (select *, lead(day) over (partition by c order by pos) as until from chain)
+select 'order-' || root as root, case when min(day) > '{AS_OF}' then 'not_yet_valid' else 'active' end as status, max(case when day <= '{AS_OF}' and (until is null or '{AS_OF}' < until) then id end) as active_guidance_id from nxt group by root""",
+    "historical_status_counts": f"with {_CHAIN} select status, count(*) as n from (select root, case when min(day) > '{AS_OF}' then 'not_yet_valid' else 'active' end as status from chain group by root) group by status",
+    "impact_from_region": f"with recursive {_FK} select node, cast(depth as bigint) as depth, trail from walk where depth > 0",
+    "impact_depth_histogram": f"with recursive {_FK} select cast(depth as bigint) as depth, count(*) as n from walk where depth > 0 group by depth",
+    "export_manifest_counts": "select 'depends_on' as type, count(*) as n, 0 as with_evidence, 0 as with_scope from documents",
+    "note_hashes": "select doc_id, sha256(text) as sha256 from documents",
+    "slug_ids": r"select p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(p_name, '[^A-Za-z0-9\-_\s]', '', 'g')), '[-_\s]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') as slug from part",
+    "path_normalize": r"select page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') || '/y/note.md' as path, cast(null as varchar) as outside from pages",
+    "relative_links": r"with p as (select page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') || '/y/note.md' as path from pages) select page_id, '../../' || path as from_index, './' || path as from_root from p",
+    "malformed_notes": f"select 'malformed_file' as kind, 'doc-' || doc_id as source, 'Malformed file ''doc-' || doc_id || ''': {NO_FRONT.replace(chr(39), chr(39) * 2)}' as message from documents where not starts_with(text, '---')",
+}
