@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, scope
 from loomgraph.schema import INACTIVE, INVERSE
+from loomgraph.session import saved
 
 
 @dataclass
@@ -67,7 +68,8 @@ class Graph:
     def edges(self) -> DataFrame:
         dst = self.bare.select(F.col("path").alias("dst_path"), F.col("id").alias("dst_id"), F.col("scope").alias("dst_scope"))
         e = self.resolved.where("dst_path is not null").join(dst, "dst_path")
-        return e.select("src_path", "src_id", "dst_path", "dst_id", "ord", "type", "evidence", "rel_scope", "src_scope", F.coalesce("rel_scope", "src_scope").alias("eff_scope"), "dst_scope")
+        # written once: every operator starts from the resolved edges
+        return saved(e.select("src_path", "src_id", "dst_path", "dst_id", "ord", "type", "evidence", "rel_scope", "src_scope", F.coalesce("rel_scope", "src_scope").alias("eff_scope"), "dst_scope"))
 
     def of(self, relation: str) -> DataFrame:
         return self.edges.where(F.col("type") == relation)

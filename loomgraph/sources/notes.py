@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.operators.graph import Graph
 from loomgraph.schema import DERIVED_ONLY, NODE_COLUMNS, SCAN
-from loomgraph.session import workers_find_us
+from loomgraph.session import saved, workers_find_us
 
 #: Fixed texts of the error column.
 NO_FRONT = "Missing or malformed YAML frontmatter delimiter (expected opening and closing '---')"
@@ -161,5 +161,5 @@ class NotesSource(DataSource):
 def load_vault(spark: SparkSession, root: str) -> Graph:
     workers_find_us(spark)
     spark.dataSource.register(NotesSource)
-    rows: DataFrame = spark.read.format("notes").option("path", root).load()
+    rows: DataFrame = saved(spark.read.format("notes").option("path", root).load())
     return Graph(rows.where("error is null").select(*NODE_COLUMNS), rows.where("error is not null").select("path", "error"))
