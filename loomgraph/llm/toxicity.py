@@ -64,9 +64,10 @@ def _fit(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray,
     """Logistic regression by Adam on the whole (bounded) sample; deterministic."""
     n, k = len(y), before.shape[1]
     w, m, v = np.zeros(size + k + 1), np.zeros(size + k + 1), np.zeros(size + k + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    if y.sum() == 0:
+    if y.sum() == 0:  # nothing to learn from: never
+        w[-1] = -30.0
         return w
+    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     for t in range(1, rounds + 1):
         p = sigmoid(np.bincount(rows, weights=w[cols], minlength=n) + before @ w[size : size + k] + w[-1])
         e = (p - y) / n
