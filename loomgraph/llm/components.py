@@ -2,7 +2,7 @@
 
 Each half round sends every node to the smallest neighbour it knows; an aggregate with map-side combining
 finds that neighbour and a join hands it on, so a node with very many neighbours is never gathered in one task
-(the join's hot partitions are split by adaptive execution). The number of rounds grows with the logarithm of
+(both sides of the join are read from tables, so adaptive execution can split its hot partitions). The number of rounds grows with the logarithm of
 the longest path.
 """
 
@@ -20,13 +20,13 @@ def _tally(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Edges come with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -42,6 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
     now = _tally(edges)
     while now[0] and now != before:
         before = now
-        edges = written(_small(_large(edges)).distinct())
+        edges = written(_small(written(_large(edges))).distinct())
         now = _tally(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
