@@ -23,7 +23,8 @@ from loomgraph.llm.common import batch, workers_find_us
 #: Control strings of the template, and the escapes of those strings (and of the escape sign) inside texts.
 OPEN, NAMED, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
 CONTROL = (OPEN, NAMED, CLOSE)
-ESCAPES = {"\\": "\\\\", OPEN: "\\t", NAMED: "\\s", CLOSE: "\\e"}
+#: The vocabulary's own special token counts as one: a text must not be able to end a document.
+ESCAPES = {"\\": "\\\\", OPEN: "\\t", NAMED: "\\s", CLOSE: "\\e", "<|endoftext|>": "\\z"}
 _RAW = re.compile("|".join(map(re.escape, ESCAPES)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _BACK = {v[1]: k for k, v in ESCAPES.items()}

@@ -88,7 +88,7 @@ with said as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized as (
-  select *, length(replace(replace(replace(replace(role || chr(1) || text, '\', '\\'), '<|turn|>', '\t'), '<|says|>', '\s'), '<|end|>', '\e')) - 1 + 23 as chars from said)
+  select *, length(replace(replace(replace(replace(replace(role || chr(1) || text, '\', '\\'), '<|turn|>', '\t'), '<|says|>', '\s'), '<|end|>', '\e'), '<|endoftext|>', '\z')) - 1 + 23 as chars from said)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,

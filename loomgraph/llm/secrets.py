@@ -43,12 +43,17 @@ def _char_bits(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33)
 
 
+def _ends(i: int, begin: int, end: int) -> range:
+    """Where a piece of the walk or repeat [begin, end) that starts at ``i`` may end: anywhere from its beginning, within 64 characters from elsewhere."""
+    return range(i + 3, end + 1) if i == begin else range(i + 3, min(i + 64, end) + 1)
+
+
 def guess_bits(value: str) -> float:
     """Bits of work to guess ``value``: the cheapest segmentation; 1 bit for each cut. Linear in the length of the value."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    walk = run = 0
+    walk = run = walk_from = run_from = 0
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + _char_bits(value[i]))
@@ -59,19 +64,19 @@ def guess_bits(value: str) -> float:
                     best[i + k] = min(best[i + k], here + cost + 1)
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             best[m.end()] = min(best[m.end()], here + math.log2(365 * 120) + 1)
-        # a walk over neighbouring keys, or one character again and again: to each of its ends from its beginning
+        # a walk over neighbouring keys, or one character again and again
         if i >= walk:
-            walk = i + 1
+            walk_from, walk = i, i + 1
             while walk < n and low[walk - 1 : walk + 1] in _NEXT:
                 walk += 1
-            for end in range(i + 3, walk + 1):
-                best[end] = min(best[end], here + math.log2(len(KEY_ROWS) * 10) + math.log2(end - i) + 1)
         if i >= run:
-            run = i + 1
+            run_from, run = i, i + 1
             while run < n and value[run] == value[i]:
                 run += 1
-            for end in range(i + 3, run + 1):
-                best[end] = min(best[end], here + _char_bits(value[i]) + math.log2(end - i) + 1)
+        for end in _ends(i, walk_from, walk):
+            best[end] = min(best[end], here + math.log2(len(KEY_ROWS) * 10) + math.log2(end - i) + 1)
+        for end in _ends(i, run_from, run):
+            best[end] = min(best[end], here + _char_bits(value[i]) + math.log2(end - i) + 1)
     return best[n]
 
 

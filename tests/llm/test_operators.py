@@ -74,7 +74,7 @@ def test_trie_join(spark, leaf):
 
 
 def test_chat(spark):
-    odd = "a\\t<|turn|>\\<|end|>é日本 </s>"
+    odd = "a\\t<|turn|>\\<|end|>é日本 </s><|endoftext|>"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd + "."), (1, 1, "assistant", ""), (2, None, None, None), (None, 3, "assistant", "alone"), (3, 0, "<|says|>", "x"), (3, 1, "assistant", LONG[:50_000])]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
     got = {r.conv_id: r for r in chat.format_chats(df, tokenizer_files()[0]).collect()}
@@ -140,6 +140,7 @@ def test_secrets(spark, docs):
     base, every = secrets.all_spans(t)
     assert [k for k, _, _ in base] == ["assign", "access", "hex"] and [t[a:b] for k, a, b in every if k == "guess"] == ["Xk9#vQ2!pLm7"]
     assert secrets.guess_bits("password") < secrets.guess_bits("qwertyuiop1") < secrets.guess_bits("Xk9#vQ2!pLm7")
+    assert secrets.guess_bits("passwordefgh") <= secrets.guess_bits("password") + secrets.guess_bits("efgh")  # a walk may begin inside a longer one
     assert secrets.guess_bits("aaaaaaaaaaaa") < 20 and secrets.guess_bits("1999-12-31") < 20
     assert secrets.find_secrets(docs).count() == len(ROWS)
 
