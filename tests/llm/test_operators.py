@@ -131,6 +131,10 @@ def test_personal_data(spark, docs):
     tagger = pii.Tagger().fit(*pii.labelled_windows(made[:150]), epochs=12)
     hits = [set(pii.base_spans(t)) & set(s) for t, s in zip(made[150:], pii.found_spans(made[150:], tagger), strict=True)]
     assert sum(map(len, hits)) >= 0.8 * sum(len(pii.base_spans(t)) for t in made[150:])  # held out
+    many = spark.createDataFrame([(f"text {i % 3000}" if i < 4000 else "text 7" if i < 6000 else "none" if i % 2 else None,) for i in range(6100)], "text string")
+    drawn = pii.training_texts(many, sample_rows=100)
+    least = many.where("text rlike '[0-9@]'").select("text", F.xxhash64(F.lit(4), "text").alias("h")).distinct().orderBy("h").limit(100)
+    assert drawn == [r.text for r in least.collect()] and pii.training_texts(many.where("text = 'none'")) == []
     out = pii.find_personal_data(docs.unionByName(docs.where("doc_id = 10").withColumn("text", F.lit(text))))
     assert out.count() == len(ROWS) + 1 and pii.find_personal_data(docs.where("false")).count() == 0
 
