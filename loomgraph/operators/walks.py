@@ -66,21 +66,23 @@ def steps(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
 def doubled(nodes: DataFrame, following: DataFrame) -> DataFrame:
     """(path, last, hops, turns): where the walk over ``following(path, next)`` from each of ``nodes(path)`` ends.
 
-    ``turns`` is true for walks that go in a circle; their ``last`` and ``hops`` mean nothing.
+    ``turns`` is true for walks that go in a circle; their ``last`` and ``hops`` mean nothing. Of a walk that ends after n
+    steps, each later part is a walk too. So if a round ends no walk, none ends between its length and twice that, hence
+    none beyond: all that still move are circles.
     """
     jump = saved(following.select("path", F.col("next").alias("to"), F.lit(1).cast("long").alias("n")))
     at = nodes.select("path").join(following, "path", "left").select("path", F.coalesce("next", "path").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"))
-    at, length = saved(at), 1
+    at, before = saved(at), jump.count()
     while True:
-        # `at` has gone `length` steps or to its end; `jump` has rows for full strides of that length
+        # `at` has gone as many steps as `jump` strides, or to its end; `jump` has a row for each note with a next one
         ends = jump.select(F.col("path").alias("last"), "to", "n")
-        moving = at.join(following.select(F.col("path").alias("last")), "last", "left_semi").count()
-        if not moving or length > 2 * moving:
+        moving = jump.join(following.select(F.col("path").alias("to")), "to", "left_semi").count()
+        if moving in (0, before):
             break
+        before = moving
         at = saved(at.join(ends, "last", "left").select("path", F.coalesce("to", "last").alias("last"), (F.col("hops") + F.coalesce("n", F.lit(0))).alias("hops")))
         b = jump.select(F.col("path").alias("to"), F.col("to").alias("far"), F.col("n").alias("m"))
         jump = saved(jump.join(b, "to", "left").select("path", F.coalesce("far", "to").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
-        length *= 2
     still = following.select(F.col("path").alias("last"), F.lit(True).alias("turns"))
     return at.join(still, "last", "left").select("path", "last", "hops", F.coalesce("turns", F.lit(False)).alias("turns"))
 

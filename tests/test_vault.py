@@ -184,3 +184,25 @@ def test_paths_and_scopes(spark):
     assert scope.parse_arguments(["a=1, b=2", "a=3"]) == {"a": "3", "b": "2"}
     with pytest.raises(ValueError):
         scope.parse_arguments(["a"])
+
+
+def test_doubling_ends_every_chain(spark):
+    def chain(name, steps):
+        return [(f"{name}{i:04d}", f"{name}{i + 1:04d}") for i in range(steps)]
+
+    def want(rows):
+        nxt, out = dict(rows), {}
+        for p in {x for r in rows for x in r}:
+            at, hops = p, 0
+            while at in nxt and hops <= len(nxt):
+                at, hops = nxt[at], hops + 1
+            out[p] = (None, None, True) if at in nxt else (at, hops, False)
+        return out
+
+    hot = chain("h", 600) + [e for i in range(40) for e in chain(f"c{i:02d}_", 14)]
+    circle = [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x")]
+    for rows in (chain("a", 5), chain("a", 9), chain("a", 600), hot, chain("a", 5) + circle, hot + circle, circle):
+        following = spark.createDataFrame(rows, "path string, next string")
+        nodes = following.select("path").union(following.select("next")).distinct()
+        got = {r.path: (None, None, True) if r.turns else (r.last, r.hops, False) for r in walks.doubled(nodes, following).collect()}
+        assert got == want(rows)
