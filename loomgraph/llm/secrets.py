@@ -1,8 +1,8 @@
 """Secrets: patterns, and values in a credential context that would be hard to guess.
 
 The cost of guessing a value is the least sum over all ways to cut it into words, dates, repeats, keyboard walks and
-brute-force characters (dynamic programming over its positions, in bits). Values after words such as "pwd" or "passphrase"
-whose cost reaches a threshold are added to the base spans.
+brute-force characters (dynamic programming over its positions, in bits). Values after words such as "pwd", "passphrase" or
+"password" whose cost reaches a threshold are added to the base spans where none of those overlaps.
 """
 
 from __future__ import annotations
@@ -25,9 +25,16 @@ _ASSIGN = re.compile("(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "api")
-#: Words that announce a credential beside those of the base pattern, and what may stand between them and the value.
-_CONTEXT = re.compile("(?<![A-Za-z])(pwd|passphrase|passcode|credentials?|private[_-]?key|access[_-]?key|auth[_-]?key|bearer|login)(?:[\"']?\\x20*(?::|=|=>|\\bis\\b)\\x20*|\\x20)[\"']?([!#-&*-;=?-Z^-z|~]+)", re.ASCII | re.IGNORECASE)
-_CONTEXT_HINTS = ("pwd", "passphrase", "passcode", "credential", "private", "access", "auth", "bearer", "login")
+#: Words that announce a credential, those of the base pattern among them (as there, also at the end of a longer name), and
+#: what may stand between them and the value. A value doesn't begin with another such word and what follows it.
+_ANNOUNCE = "(?:(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|private[_-]?key|access[_-]?key|auth[_-]?key|bearer|login)|password|passwd|secret|token|api[_-]?key)"
+_BETWEEN = "[\"']?(?:\\x20*(?::|=>|=)\\x20*|\\x20+is\\b\\x20*(?::\\x20*)?|\\x20)"
+_CONTEXT = re.compile(f"{_ANNOUNCE}({_BETWEEN})[\"']?(?!{_ANNOUNCE}{_BETWEEN})([!#-&*-;=?-Z^-z|~]+)", re.ASCII | re.IGNORECASE)
+_CONTEXT_HINTS = ("pwd", "passphrase", "passcode", "passw", "credential", "private", "access", "auth", "bearer", "login", "secret", "token", "api")
+#: What stands after such a word in a sentence: words of letters in one case, but for the first, up to 20 letters each.
+_PROSE = re.compile("(?:[A-Za-z][a-z]{0,19}|[A-Z]{1,20})(?:[-/'.,:;](?:[A-Za-z][a-z]{0,19}|[A-Z]{1,20}))*", re.ASCII)
+#: What no such word has: six consonants in a row, or letters that don't stand side by side.
+_NO_WORD = re.compile("[b-df-hj-np-tv-xz]{6}|[jq][b-df-hk-np-tw-xz]|v[b-df-hjkmnp-qtwxz]|[bcdfgkpqvwz]x|x[jkqz]|zj", re.ASCII | re.IGNORECASE)
 
 #: Common words of passwords, and rows of keys.
 WORDS = "password pass word admin root user login welcome letmein secret token master dragon monkey shadow sunshine princess football baseball superman batman hello love test demo guest default change changeme example server system public private money summer winter spring autumn january monday friday orange purple yellow flower computer internet freedom whatever trustno access key code the and for you with this that from have not are was".split()
@@ -93,17 +100,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 def guessed_spans(text: str, least_bits: float = 40.0) -> list[Span]:
-    """Values in a credential context that take ``least_bits`` or more to guess; a value is letters and digits mixed."""
-    low, out = text.lower(), []
+    """Values in a credential context that take ``least_bits`` or more to guess.
+
+    After ":", "=" or "=>" any value of 6 characters or more is scored; after "is" or a space, where sentences go on too, one
+    that isn't made of words or has what no word has.
+    """
+    low, out, at = text.lower(), [], 0
     if not any(h in low for h in _CONTEXT_HINTS):
         return out
-    for m in _CONTEXT.finditer(text):
+    while m := _CONTEXT.search(text, at):
         a, b = m.span(2)
         while b > a and text[b - 1] in ".,;:!?":
             b -= 1
-        value = text[a:b]
-        if len(value) >= 6 and any(c.isdigit() for c in value) and guess_bits(value) >= least_bits:
+        value, at = text[a:b], m.end(1)  # a value that isn't taken may hold another word that announces one
+        told = any(c in m[1] for c in ":=")
+        if len(value) >= 6 and (told or not _PROSE.fullmatch(value) or _NO_WORD.search(value)) and guess_bits(value) >= least_bits:
             out.append(("guess", a, b))
+            at = b
     return out
 
 

@@ -149,6 +149,24 @@ def test_secrets(spark, docs):
     assert secrets.find_secrets(docs).count() == len(ROWS)
 
 
+def test_secrets_after_every_word():
+    def got(t):
+        return [t[a:b] for k, a, b in secrets.all_spans(t)[1] if k == "guess"]
+
+    for word in ("password", "passwd", "secret", "token", "api_key", "api-key", "db_password", "accessToken", "pwd", "passphrase", "bearer", "login"):
+        for between in (": ", " = ", " => ", "=", " ", " is ", " is: "):
+            assert got(f"the {word}{between}$r8!Kd02mQ#x.") == ["$r8!Kd02mQ#x"], (word, between)
+    assert got('secret = "$r8!Kd02mQ#x"') == ["$r8!Kd02mQ#x"] and got("password is Xk9vQ2pLm7Zt") == ["Xk9vQ2pLm7Zt"]
+    assert got("pwd: XkQvZpLmRtYwBn") == ["XkQvZpLmRtYwBn"] and got("passphrase: kqvzplmrtywbnxjh") == ["kqvzplmrtywbnxjh"]
+    assert got("login credentials: Xk9#vQ2!pLm7") == got("login pwd: Xk9#vQ2!pLm7") == got("login pwd:Xk9#vQ2!pLm7") == got("bearer token Xk9#vQ2!pLm7") == ["Xk9#vQ2!pLm7"]
+    assert got("the password is kqvzplmrtywbn") == got("passphrase kqvzplmrtywbn") == ["kqvzplmrtywbn"]
+    # guessable, in a sentence, or in a base span already
+    assert not got("password: P@ssW0rd! pwd: qwertyuiop token: aaaaaaaaaaaaaaaa secret: 1999-12-31")
+    assert not got("the password is unquestionably a token of appreciation, a secret collaboration, a login administration-interface")
+    assert [k for k, _, _ in secrets.all_spans("password = Xk9vQ2pLm7Zt")[1]] == ["assign"]
+    assert len(got("token:" * 200_000 + "Xk9#vQ2!pLm7")) == 1 and not got("token: " * 200_000)
+
+
 def test_lines(spark):
     same, near = "a line that many of the documents share", "a line that many of the documents shape"
     rows = [(1, f"{same}\nshort\nshort\nown text of the first one"), (2, f"{same}\n{near}\nshort"), (3, None), (4, ""), (5, f"{same}\n{same}"), (None, "what comes before all of the others")]
