@@ -21,21 +21,34 @@ def workers_find_us(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``, which driver and executors share; on one machine, where it is unset, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and reread: survives lost executors and ends the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; results that are still to be computed from them are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
     """Broadcasts ``df`` only if its counted rows stay under ``limit``; beyond that Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
