@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import sys
-import tempfile
-import uuid
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from loomgraph.session import broadcast_if_small, scratch, shared_dir, workers_find_us
+from loomgraph.session import saved as written
+
+__all__ = ["SPACE", "WORD", "batch", "broadcast_if_small", "find", "scratch", "shared_dir", "table", "unite", "workers_find_us", "written"]
 
 #: What separates words: space and \x09-\x0D, as in ``bytes.split``.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def workers_find_us(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is used from a source folder and not installed."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep) and root in map(os.path.abspath, sys.path):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
-    """Broadcasts ``df`` only if its counted rows stay under ``limit``; beyond that Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,18 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line goes if it equals an earlier line, or if an earlier line is within ``edits`` (1) edits of it. Order is by document id,
-then by the text's hash, then by line number. Distinct lines are cut into ``edits + 1`` segments; a line within the
-threshold shares one segment, at a position bounded by the difference in length. So each line is put into an index under
-its segments (with its length and the segment's number) and probes the index, for its own and the next smaller length,
-with the few substrings of its own that can match. Pairs that meet are verified by banded bit-parallel edit distance:
-a column of the band is one machine word.
-
-Keys shared by more than ``full`` lines (boilerplate with small changes) are not paired: their lines get longer keys, the
-whole line but for a window of ``window`` characters in the part that isn't shared. Two lines one edit apart agree outside
-some window, so none is lost, and such a key is shared only by lines that differ within those few characters.
+A line goes if it equals an earlier line, or if an earlier line is within its edit threshold: one edit for every ``chars``
+characters of the shorter of the two, ``edits`` at most, so lines shorter than ``chars`` go only if equal. Order is by document
+id, then by text. Blank lines always stay.
+
+A line of n characters with threshold t is cut into t + 1 segments and indexed under each. A line of n + d characters probes
+that index with its substrings that can equal a segment: within t edits one segment is untouched, with at most i edits before
+segment i and t - i after it, which bounds how far the substring may have moved. Pairs that meet are verified by banded
+bit-parallel edit distance: a column of the band is one machine word.
+
+Keys shared by more than ``full`` lines (boilerplate with small changes) are not paired. Their lines are opened: the rest of
+each line, without the segment that agrees, is within the threshold too, so it is cut and probed again under the key, and
+again, until few lines share a key. No link is lost on the way. Where less is left than the threshold, all indexed lines of a
+key are within it of each other, and each is linked to the earliest of them.
 """
 
 from __future__ import annotations
@@ -19,7 +22,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import broadcast_if_small, written
 
-EDITS = 1
+EDITS, CHARS = 2, 24
+NO_ID = -(1 << 63)
+
+
+def _let(values: dict[str, Column], then) -> Column:
+    """``then`` of a struct of ``values``, each computed once."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), then)[0]
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -31,172 +40,238 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     ones = (1 << width) - 1
     bits = lambda x: F.lit(x).cast("long")
     inv = lambda x: x.bitwiseXOR(bits(ones))
+
+    def walk(of: Column) -> Column:
+        def column(s: Column, j: Column) -> Column:
+            c, hit = F.get(of.b, j - 1), None
+            for d in range(width):
+                one = F.when(F.coalesce(F.get(of.a, j + d - k - 1) == c, F.lit(False)), bits(1 << d)).otherwise(bits(0))
+                hit = one if hit is None else hit.bitwiseOR(one)
+
+            def with_hit(z: Column) -> Column:
+                return _let({"d0": ((z.x.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(z.x).bitwiseOR(s.vn).bitwiseAND(bits(ones))}, with_d0)
+
+            def with_d0(z: Column) -> Column:
+                hp = s.vn.bitwiseOR(inv(z.d0.bitwiseOR(s.vp)))
+                hn = z.d0.bitwiseAND(s.vp)
+                low = F.shiftright(z.d0, 1)
+                bottom = of.m - j + k  # the bit of row m
+                down = F.when(z.d0.bitwiseAND(bits(1 << (width - 1))) == 0, 1).otherwise(0)
+                across = F.call_function("shiftright", hp, bottom).bitwiseAND(bits(1)).cast("int") - F.call_function("shiftright", hn, bottom).bitwiseAND(bits(1)).cast("int")
+                return F.struct(hn.bitwiseOR(inv(low.bitwiseOR(hp))).alias("vp"), low.bitwiseAND(hp).alias("vn"), (s.dist + F.when(j + k <= of.m, down).otherwise(across)).cast("int").alias("dist"))
+
+            # diagonal values never fall, and at most 2 * edits columns go across after them
+            return F.when(s.dist > 3 * k, s).otherwise(_let({"x": hit}, with_hit))
+
+        start = F.struct(bits(((1 << (k + 1)) - 1) << k).alias("vp"), bits(0).alias("vn"), F.lit(k).alias("dist"))
+        walked = F.aggregate(F.sequence(F.lit(1), of.n), start, column, lambda s: s.dist)
+        return F.when(F.abs(of.m - of.n) > k, F.lit(k + 1)).otherwise(walked)
+
     pad = F.array_repeat(F.lit("x"), k)  # the same characters before both, so that no text is shorter than the band
-    a, b = F.concat(pad, a), F.concat(pad, b)
-    m, n = F.size(a), F.size(b)
-
-    def column(s: Column, j: Column) -> Column:
-        c = F.get(b, j - 1)
-        hit = None
-        for d in range(width):
-            one = F.when(F.coalesce(F.get(a, j + d - k - 1) == c, F.lit(False)), bits(1 << d)).otherwise(bits(0))
-            hit = one if hit is None else hit.bitwiseOR(one)
-
-        def with_hit(x: Column) -> Column:
-            d0 = ((x.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(x).bitwiseOR(s.vn).bitwiseAND(bits(ones))
-            return F.transform(F.array(d0), lambda z: with_d0(z))[0]
-
-        def with_d0(d0: Column) -> Column:
-            hp = s.vn.bitwiseOR(inv(d0.bitwiseOR(s.vp)))
-            hn = d0.bitwiseAND(s.vp)
-            low = F.shiftright(d0, 1)
-            bottom = m - j + k  # the bit of row m
-            down = F.when(d0.bitwiseAND(bits(1 << (width - 1))) == 0, 1).otherwise(0)
-            across = F.call_function("shiftright", hp, bottom).bitwiseAND(bits(1)).cast("int") - F.call_function("shiftright", hn, bottom).bitwiseAND(bits(1)).cast("int")
-            return F.struct(hn.bitwiseOR(inv(low.bitwiseOR(hp))).alias("vp"), low.bitwiseAND(hp).alias("vn"), (s.dist + F.when(j + k <= m, down).otherwise(across)).cast("int").alias("dist"))
-
-        # diagonal values never fall, and at most 2 * edits columns go across after them
-        return F.when(s.dist > 3 * k, s).otherwise(F.transform(F.array(hit), lambda x: with_hit(x))[0])
-
-    start = F.struct(bits(((1 << (k + 1)) - 1) << k).alias("vp"), bits(0).alias("vn"), F.lit(k).alias("dist"))
-    walked = F.aggregate(F.sequence(F.lit(1), n), start, column, lambda s: s.dist)
-    return F.when(F.abs(m - n) > k, F.lit(k + 1)).otherwise(walked)
-
-
-def _segments(line: Column, length: Column) -> list[tuple[Column, Column]]:
-    """(begin, size) of the two segments of a line of ``length``, from 1."""
-    half = (length / 2).cast("int")
-    return [(F.lit(1), half), (half + 1, length - half)]
-
-
-def _keys(line: Column, length: Column) -> Column:
-    """The keys of a line: those under which it is indexed (side 0; lines as long as it probe the same) and its probes
-    for lines that are one character shorter (side 1)."""
-    out = []
-    for side, of in ((0, length), (1, length - 1)):
-        for i, (begin, size) in enumerate(_segments(line, of)):
-            at = begin + (side if i else 0)  # with one edit, the later segment is moved by the difference in length
-            out.append(F.struct(F.lit(side).cast("byte").alias("side"), F.lit(i).cast("byte").alias("part"), F.xxhash64(of, F.lit(i), F.substr(line, at, size)).alias("key")))
-    return F.array(*out)
+    return _let({"a": F.concat(pad, a), "b": F.concat(pad, b), "m": F.size(a) + k, "n": F.size(b) + k}, walk)
 
 
-def _long_key(line: Column, of: Column, part: Column, last: Column, side: int, window: int):
-    def key(s: Column) -> Column:
-        end = F.least(s + window, last)
-        return F.struct(F.lit(side).cast("byte").alias("side"), F.xxhash64(of, s, part, F.substr(line, F.lit(1), s), F.substr(line, end + 1 + side, of - end)).alias("key"))
+def threshold(length: Column, edits: int = EDITS, chars: int = CHARS) -> Column:
+    """The edits allowed from a line of ``length`` characters to one as long or longer."""
+    return F.least(F.lit(edits), (length / chars).cast("int"))
 
-    return lambda s: key(s)
 
+def near_lines(x: Column, y: Column, edits: int = EDITS, chars: int = CHARS) -> Column:
+    """Whether two lines are within their threshold; what they share at the beginning and the end is left out first."""
 
-def _long_keys(line: Column, length: Column, part: Column, window: int) -> Column:
-    """As ``_keys``, but a key is the line without one window of the part that isn't shared (part 0 is the first half)."""
-    out = []
-    for side, of in ((0, length), (1, length - 1)):
-        half = (of / 2).cast("int")
-        first = F.when(part == 0, half).otherwise(F.lit(0))
-        last = F.when(part == 0, of).otherwise(half)
-        starts = F.sequence(first, F.greatest(first, last - 1), F.lit(window))
+    def shared(z: Column, end) -> Column:
+        """How many characters of z.a and z.b agree at one end, by bisection."""
+        most = F.least(F.length(z.a), F.length(z.b))
 
-        out.append(F.transform(starts, _long_key(line, of, part, last, side, window)))
-    return F.concat(*out)
+        def halved(s: Column, _: Column) -> Column:
+            def tried(t: Column) -> Column:
+                return F.struct(F.when(t.same, t.m).otherwise(s.lo).alias("lo"), F.when(t.same, s.hi).otherwise(t.m - 1).alias("hi"))
 
+            m = ((s.lo + s.hi + 1) / 2).cast("int")
+            return F.when(s.lo >= s.hi, s).otherwise(_let({"m": m, "same": end(z.a, m) == end(z.b, m)}, tried))
 
-def one_edit(x: Column, y: Column) -> Column:
-    """Whether two strings are within one edit.
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(most + 2)).cast("int") + 1)
+        return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), most.alias("hi")), halved, lambda s: s.lo)
 
-    Their halves are compared first: within one edit, one of the two agrees and is left out, until a few characters are left
-    for the banded distance. Linear in the length of the strings.
-    """
+    def without_head(z: Column) -> Column:
+        return _let({"head": shared(z, F.left)}, lambda h: _let({"a": F.substr(z.a, h.head + 1), "b": F.substr(z.b, h.head + 1)}, without_tail))
+
+    def without_tail(z: Column) -> Column:
+        chars_of = lambda s, tail: F.filter(F.split(F.left(s, F.length(s) - tail), ""), lambda c: c != "")
+        return _let({"tail": shared(z, F.right)}, lambda t: banded_distance(chars_of(z.a, t.tail), chars_of(z.b, t.tail), edits))
+
+    allowed = threshold(F.least(F.length(x), F.length(y)), edits, chars)
+    return F.when(F.abs(F.length(x) - F.length(y)) > allowed, F.lit(False)).otherwise(_let({"a": x, "b": y}, without_head) <= allowed)
+
+
+#: A key's side, in bits of an int: the difference in length, the number of segments, the segment, its move + 8, an index entry or not.
+INDEX = 1 << 14
 
-    def halved(s: Column, _: Column) -> Column:
-        m = (F.length(s.x) / 2).cast("int")
-        rest = F.length(s.x) - m
-        same_head = F.left(s.x, m) == F.left(s.y, m)
-        same_tail = F.right(s.x, rest) == F.right(s.y, rest)
-        out = lambda p, q, lost: F.struct(p.alias("x"), q.alias("y"), F.lit(lost).alias("lost"))
-        cut = F.when(same_head, out(F.substr(s.x, m + 1), F.substr(s.y, m + 1), False)).when(same_tail, out(F.left(s.x, m), F.left(s.y, F.length(s.y) - rest), False)).otherwise(out(s.x, s.y, True))
-        return F.when(s.lost | (F.length(s.x) <= 8), s).otherwise(cut)
 
-    start = F.struct(x.alias("x"), y.alias("y"), (F.abs(F.length(x) - F.length(y)) > EDITS).alias("lost"))
-    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.length(x) + 2)).cast("int"))
-    return F.aggregate(rounds, start, halved, lambda s: F.when(s.lost, F.lit(False)).otherwise(banded_distance(F.split(s.x, ""), F.split(s.y, ""), EDITS) <= EDITS))
+def _side(d: int, parts: int, i: int, move: int) -> int:
+    return d | parts << 3 | i << 6 | (move + 8) << 9 | (INDEX if d == 0 and move == 0 else 0)
 
 
-def _own_lines(text: Column, least_chars: int) -> Column:
-    """The lines of a text without repetitions; short ones, which always stay, are told apart by a number after a line end."""
-    marked = F.transform(F.split(text, "\n"), lambda x, i: F.when(F.length(x) >= least_chars, x).otherwise(F.concat(x, F.lit("\n"), i)))
+def _of_side(side: Column) -> tuple[Column, Column, Column, Column]:
+    """(d, parts, i, move)"""
+    bits = lambda at, n: F.shiftright(side, at).bitwiseAND(F.lit((1 << n) - 1))
+    return bits(0, 3), bits(3, 3), bits(6, 3), bits(9, 5) - 8
+
+
+def _is_index(side: Column) -> Column:
+    return side.bitwiseAND(F.lit(INDEX)) != 0
+
+
+def _segment_keys(text: Column, of: Column, t: Column, d: int, edits: int, *under: Column) -> list[Column]:
+    """The keys of ``text`` towards indexed texts of ``of`` characters, ``d`` fewer than its own; nulls for those beyond ``t`` edits."""
+    out = []
+    for parts in range(2, edits + 2):
+        for i in range(parts):
+            begin = (of * i / parts).cast("int")
+            size = (of * (i + 1) / parts).cast("int") - begin
+            for move in range(max(-i, d - (parts - 1 - i)), min(i, d + (parts - 1 - i)) + 1):
+                key = F.xxhash64(*under, of, F.lit(parts * 16 + i), F.substr(text, begin + (1 + move), size))
+                out.append(F.when(t == parts - 1, F.struct(key.alias("key"), F.lit(_side(d, parts, i, move)).alias("side"))))
+    return out
+
+
+def _keys(line: Column, length: Column, edits: int, chars: int) -> Column:
+    """The keys of a line under which it is indexed, and its probes for lines of its length and for shorter ones."""
+    return F.array(*(k for d in range(edits + 1) for k in _segment_keys(line, length - d, threshold(length - d, edits, chars), d, edits)))
+
+
+def _rest(text: Column, of: Column, side: Column) -> Column:
+    """``text`` without the substring that agreed."""
+    _, parts, i, move = _of_side(side)
+    begin, end = (of * i / parts).cast("int"), (of * (i + 1) / parts).cast("int")
+    return F.concat(F.left(text, begin + move), F.substr(text, end + move + 1))
+
+
+def _own_lines(text: Column) -> Column:
+    """The lines of a text without repetitions; blank ones, which always stay, are told apart by a number after a line end."""
+    marked = F.transform(F.split(text, "\n"), lambda x, i: F.when(F.btrim(x, F.lit(" \t\x0b\x0c\r")) == "", F.concat(x, F.lit("\n"), i)).otherwise(x))
     return F.array_distinct(marked)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
-    """(doc_id, text_hash, no, line, hash, hash2): the different lines of each text with ``least_chars`` characters or more."""
-    t = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    t = t.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_own_lines(F.col("text"), least_chars)).alias("no", "line"))
+def _id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, no, line, hash, hash2): the different lines of each text that aren't blank."""
+    t = docs.select(_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    t = t.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_own_lines(F.col("text"))).alias("no", "line"))
     return t.where(~F.contains("line", F.lit("\n"))).withColumns({"hash": F.xxhash64("line"), "hash2": F.xxhash64(F.lit(6), "line")})
 
 
-def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 12, least_edit_chars: int = 24) -> DataFrame:
+def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """``lines_of`` without the text of the lines but with their keys; null for lines too short to be joined by edits."""
     line, length = F.col("line"), F.length("line")
-    keys = F.when(length >= least_edit_chars, _keys(line, length))
-    return lines_of(docs, id_col, text_col, least_chars).select("doc_id", "text_hash", "no", "hash", "hash2", keys.alias("keys"))
+    keys = F.when(length >= chars, _keys(line, length, edits, chars))
+    return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", keys.alias("keys"))
+
 
+def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
+    """Pairs (a, a2, b, b2) of the hashes of different lines within their threshold, the earlier line first.
 
-def edit_links(narrow: DataFrame, lines: DataFrame, window: int = 8, full: int = 200) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines one edit apart, the one whose text is less first; ``lines`` gives the text of a hash (repeats are fine)."""
-    keys = narrow.where("keys is not null").select("hash", F.inline("keys"))
+    ``narrow`` has the keys, ``first`` (hash, hash2, first) the first document of each line, and ``lines`` (hash, hash2, line)
+    their texts; repeats are fine. Of lines that are all within the threshold of each other by construction, only the pairs
+    with the earliest are sure to be given; else all pairs are.
+    """
+    keys = narrow.where("keys is not null").select("hash", F.explode("keys").alias("k")).where("k is not null").select("hash", "k.key", "k.side")
     # most keys have one line only: one hash aggregate drops them (and all copies of a line that has no other neighbour)
-    shared = keys.groupBy("key", "part").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.min("side").alias("index")).where("low < high and index = 0").select("key", "part")
+    shared = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.bool_or(_is_index(F.col("side"))).alias("index")).where("low < high and index").select("key")
     shared = written(shared)
     n = shared.count()
-    small = written(keys.join(broadcast_if_small(shared, n), ["key", "part"]).groupBy("key", "part", "hash", "side").agg(F.lit(1).alias("one")).drop("one"))
+    small = written(keys.join(broadcast_if_small(shared, n), "key").distinct())
     hashes = written(small.select("hash").distinct())
     n_hashes = hashes.count()
-    text = written(lines.select("hash", "line").join(broadcast_if_small(hashes, n_hashes), "hash").groupBy("hash").agg(F.first("line").alias("line")))
-    hot = written(small.groupBy("key", "part").agg(F.count("*").alias("n")).where(F.col("n") > full).select("key", "part"))
-    n_hot = hot.count()
-    flow = ["key", "part", "hash", "side"]
-    if n_hot:
-        hot = broadcast_if_small(hot, n_hot)
-        again = small.join(hot, ["key", "part"]).select("hash", "part").distinct()
-        more = text.join(again, "hash").select("hash", "part", F.inline(_long_keys(F.col("line"), F.length("line"), F.col("part"), window)))
-        small = small.join(hot, ["key", "part"], "left_anti").select(*flow).unionByName(more.select(*flow))
-    index = small.where("side = 0").select("key", "part", F.col("hash").alias("a"))
-    met = index.join(small.select("key", "part", F.col("hash").alias("b"), "side"), ["key", "part"]).where("a < b or (a > b and side = 1)")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(text.withColumnsRenamed({"hash": "a", "line": "x"}), "a").join(text.withColumnsRenamed({"hash": "b", "line": "y"}), "b")
-    less = F.col("x") < F.col("y")
-    return both.where(one_edit(F.col("x"), F.col("y"))).select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("b"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 12, least_edit_chars: int = 24) -> DataFrame:
-    """``docs`` with its repeated lines taken out, and with _n_lines, _n_gone and _n_near (gone for an earlier line one edit away).
+    text = lines.join(broadcast_if_small(hashes, n_hashes), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line"))
+    text = written(text.join(first.select("hash", "hash2", "first"), ["hash", "hash2"]))
+    # entries: what is left of a line under a key, and what it takes there
+    order = F.struct("first", "line", "hash", "hash2")
+    level = small.select("key", "hash", "side")
+    met, rest = [], None
+    while True:
+        size = written(level.groupBy("key").agg(F.count_distinct("hash").alias("n"), F.bool_or(_is_index(F.col("side"))).alias("index")).where("n > 1 and index").select("key", (F.col("n") > full).alias("hot")))
+        n_hot = size.where("hot").count()
+        hot = broadcast_if_small(size.where("hot").select("key"), n_hot)
+        cold = level.join(size.where("not hot").select("key"), "key", "left_semi")
+        met.append(_pairs(cold))
+        if not n_hot:
+            break
+        entry = level.join(hot, "key")
+        if rest is None:
+            entry = entry.join(text.select("hash", "line"), "hash").select("key", "hash", "side", F.col("line").alias("rest"))
+        d, parts, _, _ = _of_side(F.col("side"))
+        entry = written(entry.select("key", "hash", d.alias("d"), _is_index(F.col("side")).alias("index"), (parts - 1).alias("t"), _rest(F.col("rest"), F.length("rest") - d, F.col("side")).alias("rest")).distinct())
+        of = F.length("rest") - F.col("d")
+        # nothing left to cut: indexed lines are within the threshold of each other, the others are paired with them
+        done = entry.where(of <= F.col("t"))
+        alike = done.where("index").join(text.select("hash", order.alias("at")), "hash")
+        lead = alike.groupBy("key").agg(F.min("at").alias("lead"))
+        met.append(alike.join(lead, "key").select(F.col("lead.hash").alias("a"), F.col("hash").alias("b")).where("a <> b"))
+        met.append(_bipartite(done))
+        cuts = F.array(*(k for d in range(edits + 1) for k in _segment_keys(F.col("rest"), of, F.when(F.col("d") == d, F.col("t")), d, edits, F.col("key"))))
+        opened = entry.where(of > F.col("t")).select("hash", "rest", "index", F.explode(cuts).alias("k")).where("k is not null")
+        side = F.when(F.col("index"), F.col("k.side")).otherwise(F.col("k.side").bitwiseAND(F.lit(INDEX - 1)))
+        rest = opened.select("k.key", "hash", side.alias("side"), "rest")
+        level = written(rest)
+    every = met[0]
+    for more in met[1:]:
+        every = every.union(more)
+    every = written(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = every
+    for c in "ab":
+        both = both.join(text.select(F.col("hash").alias(c), F.col("hash2").alias(f"{c}2"), F.struct("first", "line").alias(f"{c}_at")), c)
+    both = both.where(near_lines(F.col("a_at.line"), F.col("b_at.line"), edits, chars))
+    earlier = F.col("a_at") < F.col("b_at")
+    pick = lambda x, y: F.when(earlier, F.col(x)).otherwise(F.col(y))
+    return both.select(pick("a", "b").alias("a"), pick("a2", "b2").alias("a2"), pick("b", "a").alias("b"), pick("b2", "a2").alias("b2"))
+
+
+def _pairs(level: DataFrame) -> DataFrame:
+    """Indexed lines with all others under their key."""
+    index = _is_index(F.col("side"))
+    one = level.where(index).select("key", F.col("hash").alias("a"))
+    return one.join(level.select("key", F.col("hash").alias("b"), index.alias("index")), "key").where("a < b or (a > b and not index)").select("a", "b")
+
+
+def _bipartite(done: DataFrame) -> DataFrame:
+    """Indexed lines with those that only probe."""
+    one = done.where("index").select("key", F.col("hash").alias("a"))
+    return one.join(done.where("not index").select("key", F.col("hash").alias("b")), "key").where("a <> b").select("a", "b")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
+    """(doc, n_lines, n_gone, n_near): each row of ``docs`` as a struct, its text without repeated lines; how many lines it had, how
+    many went, and how many of these went for an earlier line that is only near.
 
     Order is by document id, rows without one first. In each document the first of equal lines counts, and it goes if a document
-    with a smaller id has it too, or if the first document of a line one edit away comes earlier (of two such lines of one
-    document, the one whose text is greater goes). Lines shorter than ``least_chars`` always stay; those shorter than
-    ``least_edit_chars`` go only if equal. Rows with one id count as one document: they don't lose lines to each other. Null
-    texts stay null. Clashing columns _n_... are replaced. No rows give no rows.
+    with a smaller id has it too, or if a near line's first document comes earlier (of two near lines of one document, the one
+    whose text is greater goes). Lines of white space always stay; lines shorter than ``chars`` go only if equal. Rows with one id
+    count as one document: they don't lose lines to each other. Null texts stay null and empty ones empty, with no line and one
+    line; a text that lost all lines is empty. Names of other columns don't matter. No rows give no rows.
     """
-    docs = docs.drop("_n_lines", "_n_gone", "_n_near")
-    narrow = written(narrow_lines(docs, id_col, text_col, least_chars, least_edit_chars))
-    links = written(edit_links(narrow, lines_of(docs, id_col, text_col, least_edit_chars)))
-    first = narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    first = written(first)
-    fa, fb = (first.select(F.col("hash").alias(x), F.col("first").alias(f"f{x}")) for x in "ab")
-    both = links.join(fa, "a").join(fb, "b")
-    later = both.select(F.when(F.col("fa") <= F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("hash")).distinct().withColumn("near", F.lit(True))
-    state = first.join(later, "hash", "left").where("n > 1 or near").select(F.col("hash").alias("h"), F.col("hash2").alias("h2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    seen = narrow.select("doc_id", "text_hash", "no", "hash", "hash2").join(state, (F.col("hash") == F.col("h")) & (F.col("hash2") == F.col("h2")))
-    goes = seen.where("near or doc_id > first").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("no").alias("_gone"), F.count_if(F.col("doc_id") == F.col("first")).alias("_near"))
-    text, key = F.col(text_col).cast("string"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    joined = docs.withColumns({"_key": key, "_th": F.xxhash64(text)}).join(goes, (F.col("_key") == F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
+    narrow = written(narrow_lines(docs, id_col, text_col, edits, chars))
+    first = written(narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    lines = lines_of(docs, id_col, text_col).where(F.length("line") >= chars).select("hash", "hash2", "line")
+    links = edit_links(narrow, first, lines, edits, chars, full)
+    later = written(links.select(F.col("b").alias("hash"), F.col("b2").alias("hash2")).distinct()).withColumn("near", F.lit(True))
+    state = first.join(later, ["hash", "hash2"], "left").where("n > 1 or near").select("hash", "hash2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    seen = narrow.select("doc_id", "text_hash", "no", "hash", "hash2").join(state, ["hash", "hash2"])
+    goes = seen.where("near or doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("gone"), F.count_if(F.col("doc_id") == F.col("first")).alias("n_near"))
+    text = F.col(f"doc.`{text_col}`").cast("string")
+    rows = docs.select(_id(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = rows.join(goes, ["doc_id", "text_hash"], "left")
 
     def of(own: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
+        left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.coalesce("gone", F.array().cast("array<int>")))
         return F.transform(left, lambda i: F.substring_index(F.get(own, i), "\n", 1))
 
-    stay = F.transform(F.array(_own_lines(text, least_chars)), lambda own: of(own))[0]
-    n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
-    out = joined.withColumns({"_stay": stay, "_n": n})
-    return out.select(*(F.array_join("_stay", "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.when(text.isNull(), 0).otherwise(F.col("_n")).cast("long").alias("_n_lines"), F.when(text.isNull(), 0).otherwise(F.col("_n") - F.size("_stay")).cast("long").alias("_n_gone"), F.coalesce("_near", F.lit(0)).cast("long").alias("_n_near"))
+    stay = F.transform(F.array(_own_lines(text)), lambda own: of(own))[0]
+    n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
+    out = joined.select("doc", stay.alias("stay"), n.cast("long").alias("n_lines"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    changed = F.when(F.col("n_lines") > 0, F.array_join("stay", "\n")).cast(docs.schema[text_col].dataType)
+    doc = F.struct(*(changed.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    return out.select(doc.alias("doc"), "n_lines", F.when(F.col("n_lines") > 0, F.col("n_lines") - F.size("stay")).otherwise(0).cast("long").alias("n_gone"), "n_near")

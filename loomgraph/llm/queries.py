@@ -51,7 +51,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_gone").alias("n_gone"), F.col("_n_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return docs.select("doc.doc_id", "n_lines", "n_gone", "n_near", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judged(docs, docs, table(spark, sf_dir, "labels")).drop("text", "lang")
+    return judged(docs, docs, table(spark, sf_dir, "labels")).select("doc.doc_id", "*").drop("doc")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,22 +102,28 @@ reach(a, b) as (select vec_id, vec_id from v union select reach.a, links.b from
 select v.vec_id, cast(coalesce(n, 0) as bigint) as n_links, c as component_id, v.vec_id = c as kept
 from v left join (select a, count(*) as n from links group by a) on a = v.vec_id
 join (select a as vec_id, min(b) as c from reach group by a) using (vec_id)""",
-    "op6_lines": """
+    "op6_lines": r"""
 with docs as (select doc_id, text, row_number() over (order by doc_id) as d from documents),
 lines as (select d, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from docs where text is not null),
-own as (select d, doc_id, line, min(no) as no from lines where length(line) >= 12 group by all),
-first as (select line, min(doc_id) as first, length(line) as n from own group by line),
-half as (select *, 0 as part, left(line, n // 2) as seg from first where n >= 24 union all select *, 1, substr(line, n // 2 + 1) from first where n >= 24),
-shifted as (select *, 0 as part, left(line, (n - 1) // 2) as seg from first where n >= 24 union all select *, 1, substr(line, (n - 1) // 2 + 2) from first where n >= 24),
+own as (select d, doc_id, line, min(no) as no from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by all),
+first as (select line, min(doc_id) as first, length(line) as n, least(2, length(line) // 24) as t from own group by line),
+cut as (select line, first, n, t, i, (n * i) // (t + 1) as a, (n * (i + 1)) // (t + 1) as z from (select *, unnest(range(0, t + 1)) as i from first where t > 0)),
+probe as (select line, first, n - w as n, w, i, a + move as a, z + move as z from (
+  select f.line, f.first, f.n, w, least(2, (f.n - w) // 24) as t, i, move, ((f.n - w) * i) // (least(2, (f.n - w) // 24) + 1) as a, ((f.n - w) * (i + 1)) // (least(2, (f.n - w) // 24) + 1) as z
+  from first f, range(0, 3) b(w), range(0, 3) s(i), range(-2, 3) m(move)) where w <= t and i <= t and a + move >= 0),
 met as (
-  select a.line as x, b.line as y, a.first as fx, b.first as fy from half a join half b on a.part = b.part and a.seg = b.seg and a.n = b.n and a.line < b.line
-  union select b.line, a.line, b.first, a.first from half a join shifted b on a.part = b.part and a.seg = b.seg and a.n = b.n - 1),
+  select distinct a.line as x, b.line as y, a.first as fx, b.first as fy, a.t from (select *, substr(line, a + 1, z - a) as seg from cut) a
+  join (select *, substr(line, a + 1, z - a) as seg from probe) b on a.n = b.n and a.i = b.i and a.seg = b.seg and a.line <> b.line),
+headed as (select *, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: left(x, i) = left(y, i))) as h from met),
+tailed as (select *, len(list_filter(range(1, least(length(x), length(y)) - h + 1), lambda i: right(x, i) = right(y, i))) as e from headed),
+middle as (select *, substr(x, h + 1, length(x) - h - e) as p, substr(y, h + 1, length(y) - h - e) as q from tailed),
 near as (
-  select * from met where length(x) = length(y) and len(list_filter(range(0, length(x)), lambda i: left(x, i) = left(y, i) and substr(x, i + 2) = substr(y, i + 2))) > 0
-  or length(x) = length(y) + 1 and len(list_filter(range(0, length(x)), lambda i: left(x, i) = left(y, i) and substr(x, i + 2) = substr(y, i + 1))) > 0),
+  select * from middle where greatest(length(p), length(q)) <= t or t = 2 and len(list_filter(
+    [[1, 1, 1, 1], [1, 1, 1, 0], [1, 1, 0, 1], [1, 0, 1, 1], [1, 0, 1, 0], [1, 0, 0, 1], [0, 1, 1, 1], [0, 1, 1, 0], [0, 1, 0, 1]],
+    lambda c: length(p) >= c[1] + c[3] and length(q) >= c[2] + c[4] and substr(p, 1 + c[1], length(p) - c[1] - c[3]) = substr(q, 1 + c[2], length(q) - c[2] - c[4]))) > 0),
 gone as (select distinct case when fx < fy or fx = fy and x < y then y else x end as line from near),
 marked as (
-  select lines.d, lines.no, lines.line, length(lines.line) < 12 or (own.no = lines.no and gone.line is null and first.first = lines.doc_id) as stays, coalesce(own.no = lines.no and gone.line is not null and first.first = lines.doc_id, false) as near
+  select lines.d, lines.no, lines.line, own.line is null and not regexp_matches(lines.line, '[^\x20\x09-\x0D]') or (own.no = lines.no and gone.line is null and first.first = lines.doc_id) as stays, coalesce(own.no = lines.no and gone.line is not null and first.first = lines.doc_id, false) as near
   from lines left join own on own.d = lines.d and own.line = lines.line left join first on first.line = lines.line left join gone on gone.line = lines.line)
 select docs.doc_id, count(no) as n_lines, count(no) filter (not stays) as n_gone, count(no) filter (near) as n_near,
   sha256(coalesce(string_agg(line, chr(10) order by no) filter (stays), '')) as text_sha256

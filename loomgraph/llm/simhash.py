@@ -47,17 +47,18 @@ def fingerprint(text: str | None, ngram: int = 4, seed: int = 42) -> int:
     return int("".join("1" if 2 * c > n else "0" for c in counts.tolist()), 2)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): one row per row of ``docs``; ``fp`` is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, seed: int = 42, *more: str) -> DataFrame:
+    """(id, fp): one row per row of ``docs``; ``fp`` is the fingerprint's 64 bits as a signed long. ``more`` longs are handed on."""
     workers_find_us(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), *((c, pa.int64()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), ngram, seed) for t in b.column(1)], dtype=np.uint64)
-            yield batch(schema, id=b.column(0), fp=fp.view(np.int64))
+            yield batch(schema, id=b.column(0), fp=fp.view(np.int64), **{c: b.column(2 + i) for i, c in enumerate(more)})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
+    out = ", ".join(f"{f.name} long" for f in schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *more).mapInArrow(run, out)
 
 
 def _blocks(budget: int) -> list[int]:
@@ -225,21 +226,45 @@ def _opened(rows: DataFrame, level: int, budget: int, sizes: list[int]) -> DataF
     return out
 
 
+def _grouped(fps: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """(fp, group): the smallest fingerprint that the links of each reach."""
+    classes = written(fps.select("fp").distinct())
+    found = components(trie_links(classes.select("fp", F.col("fp").alias("rep")), budget, leaf))
+    return classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, seed: int = 42, budget: int = 4, leaf: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) for each row of ``docs``.
 
-    Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id are all returned.
-    ``component_id`` is the smallest id that links reach. Rows without an id link as others do but can't name a
+    Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id are all returned and link by
+    their own texts. ``component_id`` is the smallest id that links reach. Rows without an id link as others do but can't name a
     component: one without any other id in its component has a null ``component_id``. ``kept`` marks the ids that name their
     component. Other columns of ``docs`` aren't read, so their names don't matter. No rows give no rows.
     """
     fps = written(fingerprints(docs, id_col, text_col, ngram, seed))
-    known = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    # a class of rows without ids gets a stand-in above all ids: it passes links on but names a component only alone
-    stand_in = F.lit((1 << 63) - (1 << 40)) + F.xxhash64("fp").bitwiseAND(F.lit((1 << 40) - 1))
-    classes = written(known.select("fp", F.coalesce("least", stand_in).alias("rep")))
-    found = components(trie_links(classes, budget, leaf))
-    root = F.coalesce("component", "rep")
-    of = classes.join(found, classes.rep == found.node, "left").select("fp", F.when(root < (1 << 63) - (1 << 40), root).alias("component_id"))
-    out = fps.join(of, "fp")
+    of = written(_grouped(fps, budget, leaf))
+    least = fps.groupBy("fp").agg(F.min("id").alias("least")).join(of, "fp").groupBy("group").agg(F.min("least").alias("component_id"))
+    out = fps.join(of.join(least, "group"), "fp")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, seed: int = 42, budget: int = 4, leaf: int = 4096) -> DataFrame:
+    """The rows of ``docs`` that stay if one of each group of near copies does: the one with the smallest id, rows without one
+    last; of rows with one id, the one whose text has the smallest hash.
+
+    Texts that share an id are told apart. Of rows that are equal in id and text one stays, by the smallest hash of all its columns.
+    Null and wordless texts are one group. Names of other columns don't matter. No rows give no rows.
+    """
+    the_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    hashed = docs.select(the_id.alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    fps = written(fingerprints(hashed, "id", "text", ngram, seed, "th"))
+    of = _grouped(fps, budget, leaf)
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
+    best = fps.groupBy("fp").agg(F.min(rank).alias("best")).join(of, "fp").groupBy("group").agg(F.min("best").alias("best"))
+    copies = fps.groupBy("id", "th").agg(F.count("*").alias("n"))
+    stays = best.select("best.id", "best.th").alias("b").join(copies.alias("c"), F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.th") == F.col("c.th"))).select("b.id", "b.th", "n")
+    stays = written(stays.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "th", "n"))
+    rows = docs.select(F.coalesce(the_id, F.lit(0)).alias("id"), the_id.isNull().alias("no_id"), F.xxhash64(text).alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    kept = rows.join(stays, ["id", "no_id", "th"])
+    again = kept.where("n > 1").groupBy("id", "no_id", "th").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return kept.where("n = 1").select("doc").unionByName(again.select("doc")).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from loomgraph.llm.common import workers_find_us
 
@@ -119,49 +120,57 @@ def train(texts: list[str | None], labels: np.ndarray, categories: list[str], si
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = 6000, seed: int = 10) -> tuple[list[str | None], np.ndarray]:
     """At most ``rows`` labelled texts, up to half of them in some category; a seeded, repeatable choice of whole texts.
 
-    ``labels`` is (doc_id, one 0/1 column per category). This bound is the only one; it concerns training alone.
+    ``labels`` is (doc_id, one 0/1 column per category); of several rows of an id a 1 counts. Of several texts of an id the one with the
+    smallest hash is taken. The bound is the only one; it concerns training alone and holds for what reaches the driver.
     """
-    flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in categories]
-    known = labels.select("doc_id", *flags).where("doc_id is not null").withColumn("any", F.greatest(*categories) if len(categories) > 1 else F.col(categories[0]))
+    flags = [F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories]
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).withColumn("any", F.greatest(*categories) if len(categories) > 1 else F.col(categories[0]))
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = known.where("any = 1").orderBy(order, "doc_id").limit(rows // 2).unionByName(known.where("any = 0").orderBy(order, "doc_id").limit(rows - rows // 2))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.select("doc_id", "text", *categories).toPandas().sort_values(["doc_id", "text"], kind="stable").head(rows)
+    text = F.col("text").cast("string")
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = texts.select("doc_id", "text", *categories).limit(rows).toPandas().sort_values("doc_id", kind="stable")
     order = np.random.default_rng(seed).permutation(len(got))
     return [got["text"].iloc[i] for i in order], got[categories].to_numpy(np.int64)[order]
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``p_<category>`` for each category; a clashing column is replaced. Null texts score as empty."""
+    """(doc, p): each row of ``docs`` as a struct, and its probabilities by category. Null texts score as empty."""
     workers_find_us(docs.sparkSession)
-    names = [f"p_{c}" for c in chain.categories]
-    docs = docs.drop(*names)
     given = docs.sparkSession.sparkContext.broadcast(chain)  # at most `size` words and their weights
-    at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} double" for n in names)])
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    schema = StructType([rows.schema["doc"], StructField("p", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(at)]
+            texts = b.column(0).to_pylist()
             p = given.value.probabilities(*given.value.pairs(texts), len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, c]) for c in range(p.shape[1]))], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(p), type=pa.list_(pa.float64()))], names=["doc", "p"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def by_language(docs: DataFrame, labels: DataFrame, languages: tuple[str, ...] = ("en", "de", "es", "fr")) -> tuple[DataFrame, list[str]]:
     """Labels of the categories toxic_<language>, then toxic, from labels(doc_id, toxic) and docs(doc_id, lang)."""
-    both = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).join(docs.select("doc_id", "lang"), "doc_id")
+    both = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).join(docs.select("doc_id", "lang").distinct(), "doc_id")
     cats = [f"toxic_{x}" for x in languages]
     return both.select("doc_id", *(F.when(F.col("lang") == x, F.col("toxic")).otherwise(0).alias(c) for x, c in zip(languages, cats, strict=True)), "toxic"), [*cats, "toxic"]
 
 
 def judged(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = 6000) -> DataFrame:
-    """``docs`` with p_<category> of the chain (toxicity in each language, then overall) and ``toxic``: p_toxic >= threshold.
+    """(doc, p_<category>..., toxic): each row of ``docs`` as a struct, the chain's probabilities (toxicity in each language, then
+    overall), and whether p_toxic >= ``threshold``.
 
-    Without labelled rows nothing is toxic. Repeated rows are each scored; no rows give no rows.
+    Null and empty texts have no words and get what the model says of none. Without labelled rows nothing is toxic. Long texts are
+    read whole. Repeated rows are each scored; names of other columns don't matter; no rows give no rows.
     """
     label_table, categories = by_language(train_docs, labels)
     texts, y = labelled_sample(train_docs, label_table, categories, sample_rows)
-    chain = train(texts, y, categories)
-    return score(docs.drop("toxic"), chain).withColumn("toxic", F.col("p_toxic") >= threshold)
+    scored = score(docs, train(texts, y, categories))
+    out = scored.select("doc", *(F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(categories)))
+    return out.withColumn("toxic", F.col("p_toxic") >= threshold)
+
+
+def non_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the chain, trained on those with a label, doesn't take for toxic."""
+    return judged(docs, docs, labels, **options).where("not toxic").select("doc.*")
