@@ -158,15 +158,15 @@ def _id(id_col: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, no, line, hash, hash2): the different lines of each text that aren't blank."""
+    """(doc_id, text_hash, no, line, hash, hash2, n): the different lines of each text that aren't blank, and their lengths."""
     t = docs.select(_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     t = t.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_own_lines(F.col("text"))).alias("no", "line"))
-    return t.where(~F.contains("line", F.lit("\n"))).withColumns({"hash": F.xxhash64("line"), "hash2": F.xxhash64(F.lit(6), "line")})
+    return t.where(~F.contains("line", F.lit("\n"))).withColumns({"hash": F.xxhash64("line"), "hash2": F.xxhash64(F.lit(6), "line"), "n": F.length("line")})
 
 
 def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """``lines_of`` without the text of the lines but with their keys; null for lines too short to be joined by edits."""
-    line, length = F.col("line"), F.length("line")
+    line, length = F.col("line"), F.col("n")
     keys = F.when(length >= chars, _keys(line, length, edits, chars))
     return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", keys.alias("keys"))
 
@@ -255,7 +255,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     narrow = written(narrow_lines(docs, id_col, text_col, edits, chars))
     first = written(narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    lines = lines_of(docs, id_col, text_col).where(F.length("line") >= chars).select("hash", "hash2", "line")
+    lines = lines_of(docs, id_col, text_col).where(F.col("n") >= chars).select("hash", "hash2", "line")
     links = edit_links(narrow, first, lines, edits, chars, full)
     later = written(links.select(F.col("b").alias("hash"), F.col("b2").alias("hash2")).distinct()).withColumn("near", F.lit(True))
     state = first.join(later, ["hash", "hash2"], "left").where("n > 1 or near").select("hash", "hash2", "first", F.coalesce("near", F.lit(False)).alias("near"))
