@@ -181,12 +181,10 @@ def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int
     keys = narrow.where("keys is not null").select("hash", F.explode("keys").alias("k")).where("k is not null").select("hash", "k.key", "k.side")
     # most keys have one line only: one hash aggregate drops them (and all copies of a line that has no other neighbour)
     shared = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.bool_or(_is_index(F.col("side"))).alias("index")).where("low < high and index").select("key")
-    shared = written(shared)
-    n = shared.count()
-    small = written(keys.join(broadcast_if_small(shared, n), "key").distinct())
+    # both joins shuffle at every size: what is shared grows with the lines
+    small = written(keys.join(written(shared).hint("merge"), "key").distinct())
     hashes = written(small.select("hash").distinct())
-    n_hashes = hashes.count()
-    text = lines.join(broadcast_if_small(hashes, n_hashes), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line"))
+    text = lines.join(hashes.hint("merge"), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line"))
     text = written(text.join(first.select("hash", "hash2", "first"), ["hash", "hash2"]))
     # entries: what is left of a line under a key, and what it takes there
     order = F.struct("first", "line", "hash", "hash2")
