@@ -171,7 +171,7 @@ def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", keys.alias("keys"))
 
 
-def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
+def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 8) -> DataFrame:
     """Pairs (a, a2, b, b2) of the hashes of different lines within their threshold, the earlier line first.
 
     ``narrow`` has the keys, ``first`` (hash, hash2, first) the first document of each line, and ``lines`` (hash, hash2, line)
@@ -241,7 +241,7 @@ def _bipartite(done: DataFrame) -> DataFrame:
     return one.join(done.where("not index").select("key", F.col("hash").alias("b")), "key").where("a <> b").select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS, full: int = 8) -> DataFrame:
     """(doc, n_lines, n_gone, n_near): each row of ``docs`` as a struct, its text without repeated lines; how many lines it had, how
     many went, and how many of these went for an earlier line that is only near.
 
