@@ -92,13 +92,20 @@ def cycled_weights(docs: DataFrame, source_col: str = "source", cycle: tuple[flo
 def repeated(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken whole, and one with the first words for a fraction.
 
-    Documents without words stay once. Columns and their order are those of ``docs``.
+    Documents without words, null texts among them, stay once. Columns and their order are those of ``docs``; other columns' names don't
+    matter. Equal rows share alike. No rows give no rows.
     """
-    t = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
-    full = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(1)
-    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("text_hash"), row.alias("doc"))
+    t = taken.select("doc_id", "source", "text_hash", "size", "taken").distinct()
+    same = rows.doc_id.eqNullSafe(t.doc_id) & rows.source.eqNullSafe(t.source) & (rows.text_hash == t.text_hash)
+    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1)
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     copies = F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))))
-    out = docs.join(t, same).select(*docs.columns, copies.alias("_words"))
-    head = F.array_join(F.slice(F.split(F.col(text_col), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])"), 1, F.col("_words").cast("int")), "")
-    return out.select(*(F.when(F.col("_words") > 0, head).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    out = rows.join(t, same).select("doc", copies.alias("words"))
+    text = F.col(f"doc.`{text_col}`")
+    # pieces are a word and the white space after it; what stands before the first word is a piece too
+    pieces = F.col("words").cast("int") + F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
+    head = F.array_join(F.slice(F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])"), 1, pieces), "")
+    changed = F.when(F.col("words") > 0, head).otherwise(text)
+    return out.select(*(changed.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -13,7 +13,7 @@ from loomgraph.llm.mixing import cycled_weights, mix
 from loomgraph.llm.packing import pack
 from loomgraph.llm.pii import find_personal_data
 from loomgraph.llm.quality import quality_report
-from loomgraph.llm.secrets import find_secrets
+from loomgraph.llm.secrets import WORDS, find_secrets, vocabulary_words
 from loomgraph.llm.simhash import near_copies
 from loomgraph.llm.toxicity import judged
 
@@ -46,7 +46,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return find_secrets(table(spark, sf_dir, "documents"), words=[*WORDS, *vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))])
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
