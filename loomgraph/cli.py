@@ -46,7 +46,7 @@ def lint_report(g: gr.Graph, root: str) -> dict:
 def node_detail(g: gr.Graph, target: str, root: str) -> tuple[dict, list[dict]]:
     path = packets.find_seed(g, target, root)
     r = g.nodes.where(F.col("path") == path).first()
-    n = packets.note(r.asDict(recursive=True)) | {"relations": [{k: v for k, v in x.asDict(recursive=True).items() if v is not None} for x in r.relations]}
+    n = packets.note(r.asDict(recursive=True))
     inverse = gr.inverse_relations(g).where(F.col("path") == path).orderBy("target", "type").collect()
     return n, [{"type": x.type, "target": x.target, "evidence": x.evidence} for x in inverse]
 
@@ -74,7 +74,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             print(as_json(i) if args.json else render.inventory(i))
         else:
             n = parse_note(Path(args.path).read_bytes().decode("utf-8"), args.path)
-            d = packets.note(n) | {"relations": n["relations"]}
+            d = packets.note(n)
             print(as_json(d) if args.json else render.node(d))
         return 0
     if args.command == "lint":
@@ -95,7 +95,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         return 0
     if args.command == "apply":
         r = normalize.apply(args.vault, normalize.read_plan(args.plan), args.dry_run)
-        print(("Would modify" if args.dry_run else "Modified") + f" {r['modified']} file(s); {r['already_up_to_date']} already up to date.")
+        if args.dry_run:
+            print(f"Validation successful. {r['modified']} files would be modified ({r['already_up_to_date']} already up-to-date). [dry-run]")
+        else:
+            print(f"Applied {r['modified']} changes ({r['already_up_to_date']} files already up-to-date).")
         return 0
     if args.command == "export":
         if args.format.lower() != "okf":

@@ -153,6 +153,7 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Of ways of one length the one through the smaller ids counts, level by level, as a breadth-first search finds them.
     """
+    edges = saved(edges.select("src", "dst").distinct())  # read in every round
     front = saved(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.array("node").alias("trail")))
     seen = front
     while True:

@@ -69,23 +69,43 @@ class Reach:
         return (n["status"] or "").lower() not in INACTIVE and not any(overlap(e["eff_scope"], self.scope(path)) for e in self.into.get((path, "supersedes"), ()))
 
 
+def _given(d: dict) -> dict:
+    """Without absent fields."""
+    return {k: v for k, v in d.items() if v is not None}
+
+
 def note(n: dict) -> dict:
-    """A note for output: absent and empty fields left out."""
-    d = {"id": n["id"], "type": n["node_type"], "title": n["title"], "status": n["status"], "valid_from": n["valid_from"], "valid_until": n["valid_until"], "scope": dict(n["scope"] or {}), "path": n["path"]}
+    """A note for output with its relations and body: absent and empty fields left out."""
+    relations = [_given({k: dict(v) if k == "scope" and v is not None else v for k, v in r.items()}) for r in n.get("relations") or ()]
+    d = {"id": n["id"], "type": n["node_type"], "title": n["title"], "status": n["status"], "valid_from": n["valid_from"], "valid_until": n["valid_until"], "scope": dict(n["scope"] or {}), "relations": relations, "path": n["path"], "body": n.get("body")}
     return {k: v for k, v in d.items() if v not in (None, {}, [])}
 
 
+def find_seeds(g: Graph, seeds: list[str], root: str = "") -> dict[str, tuple[str, str]]:
+    """(path, id) of each seed that is a note: an id, else a path in the vault, with or without its extension, also below the vault's folder."""
+    tries: dict[str, list[str]] = {}
+    for seed in seeds:
+        wanted = seed.strip()
+        forms = [wanted] + ([wanted[len(root.rstrip("/")) + 1 :]] if root and wanted.startswith(root.rstrip("/") + "/") else [])
+        tries[seed] = [k for k in map(paths.normalize_one, forms) if k]
+    names, keys = [s.strip() for s in seeds], sorted({k for t in tries.values() for k in t})
+    by_id = g.ids.where(F.col("id").isin(names)).select(F.col("id").alias("key"), "path", F.lit(0).alias("rank"))
+    by_path = g.path_keys.where(F.col("key").isin(keys)).select("key", "path", F.lit(1).alias("rank"))
+    hits = by_id.unionByName(by_path).join(g.bare.select("path", "id"), "path").orderBy("rank", "path").collect()
+    out = {}
+    for seed in seeds:
+        hit = next((h for h in hits if (h.key == seed.strip() if h.rank == 0 else h.key in tries[seed])), None)
+        if hit is not None:
+            out[seed] = (hit.path, hit.id)
+    return out
+
+
 def find_seed(g: Graph, seed: str, root: str = "") -> str:
-    """The path of a seed: an id, else a path in the vault, with or without its extension, also below the vault's folder."""
-    wanted = seed.strip()
-    tries = [wanted]
-    if root and wanted.startswith(root.rstrip("/") + "/"):
-        tries.append(wanted[len(root.rstrip("/")) + 1 :])
-    keys = [k for k in (paths.normalize_one(t) for t in tries) if k]
-    hit = g.ids.where(F.col("id") == wanted).select("path", F.lit(0).alias("rank")).unionByName(g.path_keys.where(F.col("key").isin(keys)).select("path", F.lit(1).alias("rank"))).orderBy("rank", "path").first()
+    """The path of a seed."""
+    hit = find_seeds(g, [seed], root).get(seed)
     if hit is None:
         raise SeedNotFound(f"Seed note '{seed}' not found in vault '{root}'")
-    return hit.path
+    return hit[0]
 
 
 def reach(g: Graph, start: str, both: tuple[str, ...], into: tuple[str, ...] = (), beside: tuple[str, ...] = ("contradicts", "supported_by")) -> Reach:
@@ -113,7 +133,7 @@ def reach(g: Graph, start: str, both: tuple[str, ...], into: tuple[str, ...] = (
             got |= {(e["src_path"], e["ord"]): e for e in rows}
     seen |= {x for e in got.values() for x in (e["src_path"], e["dst_path"])}
     f = spark.createDataFrame([(p,) for p in sorted(seen)], "path string")
-    rows = g.bare.join(F.broadcast(f), "path", "left_semi").collect()
+    rows = g.nodes.join(f, "path", "left_semi").collect()
     return Reach({r.path: r.asDict(recursive=True) for r in rows}, list(got.values()))
 
 
@@ -140,10 +160,19 @@ def current_packet(g: Graph, seed: str, scope: dict[str, str], root: str = "") -
     def packet(status: str, message: str, found: str | None = None, conflict: dict | None = None) -> dict:
         return {"mode": "current", "seed": seed, "active_guidance_id": ident(found) if found else None, "is_current": found == start, "status": status, "query_scope": dict(scope), "active_note": note(r.nodes[found]) if found else None, "unresolved_conflict": conflict, "supersession_chain": chain, "historical_rationale": past, "advisories": advised, "message": message}
 
-    def conflict(kind: str, message: str, candidates: list[str], predecessor: str | None = None, cycle: list[str] | None = None) -> dict:
+    def candidate(p: str, evidence: str | None, scoped: dict | None) -> dict:
+        return _given({"id": ident(p), "title": r.nodes[p]["title"], "path": p, "evidence": evidence, "scope": scoped or None})
+
+    def declared(p: str, kind: str) -> str | None:
+        """The evidence of the note's first relation of a kind."""
+        return next((x["evidence"] for x in r.nodes[p]["relations"] or () if x["type"] == kind), None)
+
+    def listed(es: list[dict]) -> list[dict]:
+        return sorted((candidate(e["src_path"], e["evidence"], e["eff_scope"]) for e in es), key=lambda c: c["id"])
+
+    def conflict(kind: str, message: str, candidates: list[dict], predecessor: str | None = None, cycle: list[str] | None = None) -> dict:
         said = f"{MARK} {message}"
-        c = {"alert": MARK, "kind": kind, "message": said, "predecessor": predecessor, "cycle": cycle, "candidates": [note(r.nodes[p]) for p in candidates]}
-        return packet("unresolved_conflict", said, None, {k: v for k, v in c.items() if v not in (None, [])} | {"candidates": c["candidates"]})
+        return packet("unresolved_conflict", said, None, _given({"alert": MARK, "kind": kind, "message": said, "predecessor": predecessor, "cycle": cycle, "candidates": candidates}))
 
     while True:
         if at in visited:
@@ -154,7 +183,9 @@ def current_packet(g: Graph, seed: str, scope: dict[str, str], root: str = "") -
                     after.setdefault(e["src_id"], []).append(e["dst_id"])
             cycle = ordered_cycle({ident(p) for p in members}, after, ident(at))
             del chain[visited.index(at) :], past[visited.index(at) :]
-            return conflict("supersession_cycle", f"Supersession cycle detected: {' -> '.join([*cycle, cycle[0]])}. {ABSTAIN}", sorted(members, key=ident), None, cycle)
+            inside = {p: next((e for e in r.out.get((p, "supersedes"), ()) if e["dst_path"] in members), None) for p in members}
+            turning = [candidate(p, (e or {}).get("evidence") or declared(p, "supersedes"), (e or {}).get("rel_scope") or r.scope(p)) for p, e in inside.items()]
+            return conflict("supersession_cycle", f"Supersession cycle detected: {' -> '.join([*cycle, cycle[0]])}. {ABSTAIN}", sorted(turning, key=lambda c: c["id"]), None, cycle)
         visited.append(at)
         edges = r.into.get((at, "supersedes"), [])
         hits = [e for e in edges if overlap(scope, e["eff_scope"])]
@@ -168,7 +199,6 @@ def current_packet(g: Graph, seed: str, scope: dict[str, str], root: str = "") -
             live = [e for e in hits if r.active(e["src_path"])]
             left = [e for e in live if not any(x is not e and _transitively(r, x["src_path"], e["src_path"], e["eff_scope"]) for x in live)]
             names = lambda es: ", ".join(sorted(x["src_id"] for x in es))
-            listed = lambda es: sorted((x["src_path"] for x in es), key=ident)
             if len(left) > 1:
                 return conflict("competing_successors", f"Competing successors found for '{ident(at)}': {names(left)}. {ABSTAIN}", listed(left), ident(at))
             if not left:
@@ -186,18 +216,23 @@ def current_packet(g: Graph, seed: str, scope: dict[str, str], root: str = "") -
                 return conflict("superseded_without_active_successor", f"Note '{ident(at)}' has been superseded, but all successors are inactive in the requested scope.", listed(hits), ident(at))
             hits = left
         e = hits[0]
-        chain.append({k: v for k, v in {"from": ident(at), "to": e["src_id"], "evidence": e["evidence"], "scope": e["eff_scope"]}.items() if v})
-        past.append(note(r.nodes[at]))
+        chain.append(_given({"predecessor": ident(at), "successor": e["src_id"], "evidence": e["evidence"], "scope": e["rel_scope"]}))
+        past.append(_given({"node": note(r.nodes[at]), "superseded_by": e["src_id"], "evidence": e["evidence"], "scope": e["rel_scope"]}))
         at = e["src_path"]
     against = []
     for e in r.out.get((at, "contradicts"), []):
-        against.append((e["dst_path"], e["eff_scope"], r.scope(e["dst_path"])))
+        against.append((e["dst_path"], e["eff_scope"], r.scope(e["dst_path"]), e["evidence"], True))
     for e in r.into.get((at, "contradicts"), []):
-        against.append((e["src_path"], r.scope(at), e["eff_scope"]))
-    against = [p for p, a, b in against if p != at and r.active(p) and overlap(a, b) and overlap(scope, a) and overlap(scope, b)]
+        against.append((e["src_path"], r.scope(at), e["eff_scope"], e["evidence"], False))
+    against = [x for x in against if x[0] != at and r.active(x[0]) and overlap(x[1], x[2]) and overlap(scope, x[1]) and overlap(scope, x[2])]
     if against:
-        other = min(against, key=ident)
-        return conflict("contradiction", f"Active contradiction between '{ident(at)}' and '{ident(other)}' with overlapping scopes.", [at, other])
+        other, _, _, evidence, outgoing = min(against, key=lambda x: ident(x[0]))
+        # the other side's evidence: of its own edge back, else of its first contradiction
+        a, b = (other, at) if outgoing else (at, other)
+        back = next((e["evidence"] for e in r.out.get((a, "contradicts"), ()) if e["dst_path"] == b), None) or declared(a, "contradicts")
+        mine, its = (evidence, back) if outgoing else (back, evidence)
+        pair = [candidate(at, mine, r.scope(at)), candidate(other, its, r.scope(other))]
+        return conflict("contradiction", f"Active contradiction between '{ident(at)}' and '{ident(other)}' with overlapping scopes.", pair)
     if at != start:
         return packet("superseded", f"Resolved superseded note '{ident(start)}' along {len(chain)} supersession hop(s) to active guidance '{ident(at)}'.", at)
     if advised:
@@ -241,24 +276,20 @@ def lineage_packet(g: Graph, seed: str, scope: dict[str, str], root: str = "") -
     start = find_seed(g, seed, root)
     r = reach(g, start, ("supersedes",))
     walk, steps, advised = _chain(r, start, scope)
-    raw = {}
-    for x in g.relations.where((F.col("type") == "supported_by") & F.col("src_path").isin(walk)).collect():
-        raw.setdefault(x.src_path, []).append(x.target_raw)
-    chain, evidence = [], []
+    raw = {p: [x["target"] for x in r.nodes[p]["relations"] or () if x["type"] == "supported_by"] for p in walk}
+    found = find_seeds(g, sorted({t for ts in raw.values() for t in ts}), root) if any(raw.values()) else {}
+    chain, evidence = [], {}
     for i, p in enumerate(walk):
-        backed = {e["dst_id"] for e in r.out.get((p, "supported_by"), ())}
-        for t in raw.get(p, ()):
-            try:
-                backed.add(r.nodes.get(q := find_seed(g, t, root), {}).get("id") or g.bare.where(F.col("path") == q).first().id)
-            except SeedNotFound:
-                backed.add(t)
-        entry = {"node": note(r.nodes[p]), "adopted_evidence": steps[i - 1]["evidence"] if i else None, "superseding_evidence": steps[i]["evidence"] if i < len(steps) else None, "supersedes": r.nodes[walk[i - 1]]["id"] if i else None, "superseded_by": r.nodes[walk[i + 1]]["id"] if i < len(steps) else None, "supported_by": sorted(backed)}
-        evidence += [x for x in sorted(backed) if x not in evidence]
-        chain.append({k: v for k, v in entry.items() if v not in (None, [])})
+        edges = r.out.get((p, "supported_by"), ())
+        for e in edges:
+            evidence.setdefault(e["dst_id"], note(r.nodes[e["dst_path"]]))
+        backed = {e["dst_id"] for e in edges} | {found[t][1] if t in found else t for t in raw[p]}
+        entry = {"node": note(r.nodes[p]), "supersedes": r.nodes[walk[i - 1]]["id"] if i else None, "superseded_by": r.nodes[walk[i + 1]]["id"] if i < len(steps) else None, "adopted_evidence": steps[i - 1]["evidence"] if i else None, "supersession_evidence": steps[i]["evidence"] if i < len(steps) else None, "supported_by": sorted(backed) or None, "is_current": i == len(walk) - 1}
+        chain.append(_given(entry))
     names = [r.nodes[p]["id"] for p in walk]
-    said = f"Note '{names[0]}' has no supersession lineage and is itself current guidance." if len(walk) == 1 else f"Traced chronological replacement chain across {len(walk)} node(s): {' -> '.join(repr(n) for n in names)}."
-    moves = [{k: v for k, v in {"from": e["dst_id"], "to": e["src_id"], "evidence": e["evidence"]}.items() if v} for e in steps]
-    return {"mode": "lineage", "seed": seed, "active_guidance_id": names[-1], "query_scope": dict(scope), "chain": chain, "transitions": moves, "empirical_evidence": evidence, "advisories": advised, "message": said}
+    said = f"Note '{r.nodes[start]['id']}' has no supersession lineage and is itself current guidance." if len(walk) == 1 else f"Traced chronological replacement chain across {len(walk)} node(s): {' -> '.join(repr(n) for n in names)}."
+    moves = [_given({"predecessor": e["dst_id"], "successor": e["src_id"], "evidence": e["evidence"], "scope": e["rel_scope"]}) for e in steps]
+    return {"mode": "lineage", "seed": seed, "active_guidance_id": names[-1], "query_scope": dict(scope), "chain": chain, "transitions": moves, "empirical_evidence": list(evidence.values()), "advisories": advised, "message": said}
 
 
 def impact_packet(g: Graph, seed: str, scope: dict[str, str], root: str = "") -> dict:

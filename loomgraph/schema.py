@@ -10,9 +10,9 @@ SCAN = f"{NODES}, error string"
 
 #: Forward relation types and what they are called from the other end.
 INVERSE = {"supersedes": "superseded_by", "depends_on": "required_by", "supported_by": "supports", "caused_by": "caused", "contradicts": "contradicts", "relates_to": "relates_to"}
-#: Never declared in a note: they are always derived.
+#: Never declared in a note, always derived.
 DERIVED_ONLY = ("superseded_by", "required_by", "supports", "caused")
-#: Statuses of notes that no longer count.
+#: Statuses of notes that no longer count.
 INACTIVE = ("deprecated", "superseded", "archived", "retired", "obsolete")
-#: Types that the guarded write accepts.
+#: Types that the guarded write accepts.
 PERMITTED_TYPES = ("Concept", "Decision", "Incident", "Runbook", "Evidence", "Proposal", "Review", "Source", "Note", "Architecture", "Infrastructure", "Service", "Application")

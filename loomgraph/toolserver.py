@@ -34,6 +34,36 @@ def write_lock(root: str) -> Iterator[None]:
         yield
 
 
+def _replace(file: Path, text: str) -> None:
+    """Writes the whole file or nothing; no temporary file stays."""
+    temp = file.with_name(f".{file.stem}.tmp.{os.getpid()}")
+    try:
+        temp.write_text(text)
+        os.replace(temp, file)
+    finally:
+        temp.unlink(missing_ok=True)
+
+
+def _schema(needed: str, **properties: dict) -> dict:
+    return {"type": "object", "properties": properties, "required": needed.split()}
+
+
+def _says(text: str, kind: str = "string") -> dict:
+    return {"type": kind, "description": text}
+
+
+_PAIRS = {"type": "object", "additionalProperties": {"type": "string"}, "description": "Key-value pairs of the context, e.g. env=prod"}
+_RELATION = _schema("type target", type=_says("One of supersedes, depends_on, supported_by, caused_by, relates_to, contradicts"), target=_says("Id of the note at the other end"), evidence=_says("Citation or reason"), scope=_PAIRS)
+#: What each tool does and takes.
+TOOLS = {
+    "query": ("Guidance around a note: current, its lineage, its impact, or as of a date", _schema("seed", seed=_says("Id or path of the note to start from"), mode=_says("current (default), lineage, impact or historical"), scope=_PAIRS, as_of=_says("YYYY-MM-DD, for historical alone"))),
+    "inspect": ("The vault's inventory, or one note with its relations in both directions", _schema("", target=_says("Id or path of a note; the inventory if left out"))),
+    "lint": ("Integrity findings of the vault", _schema("")),
+    "vault_read": ("The text of a note", _schema("node_id", node_id=_says("Id or path of a note"))),
+    "vault_write_canonical": ("Writes a note, if its relations hold, and logs it in today's daily note", _schema("id title type body daily_summary", id=_says("Id of the note, its file name"), title=_says("Title"), type=_says(f"One of {', '.join(PERMITTED_TYPES)}"), relations={"type": "array", "items": _RELATION, "description": "Forward relations"}, body=_says("Markdown without front matter"), daily_summary=_says("Line for the daily log"))),
+}
+
+
 class Tools:
     def __init__(self, spark: SparkSession, root: str, today=None):
         self.spark, self.root = spark, root
@@ -51,9 +81,11 @@ class Tools:
 
     def inspect(self, target: str | None = None) -> str:
         if not target:
-            return "# Vault Inventory\n\n" + render.inventory(cli.inventory(self.graph(), self.root))
-        n, inverse = cli.node_detail(self.graph(), target, self.root)
-        return f"# Inspect: {n['id']}\n\n" + render.node(n, inverse)
+            return render.vault_page(cli.inventory(self.graph(), self.root))
+        try:
+            return render.node_page(*cli.node_detail(self.graph(), target, self.root))
+        except packets.SeedNotFound:
+            raise ToolError(f"Node not found: '{target}'") from None
 
     def lint(self) -> str:
         return render.lint(cli.lint_report(self.graph(), self.root))
@@ -72,7 +104,8 @@ class Tools:
                 return file.read_text()
         return self._inside(packets.find_seed(self.graph(), node_id, self.root)).read_text()
 
-    def write(self, id: str, title: str, type: str, relations: list[dict], body: str, daily_summary: str) -> str:
+    def write(self, id: str, title: str, type: str, body: str, daily_summary: str, relations: list[dict] | None = None) -> str:
+        relations = relations or []
         with write_lock(self.root):
             if type not in PERMITTED_TYPES:
                 raise ToolError(f"Invalid note type '{type}'. Permitted types: {', '.join(PERMITTED_TYPES)}")
@@ -101,23 +134,20 @@ class Tools:
             front = {"id": id, "type": type, "title": title} | ({"relations": relations} if relations else {})
             file = Path(self.root, f"{id}.md")
             before = file.read_bytes() if file.exists() else None
-            temp = file.with_name(f".{file.name}.tmp")
-            temp.write_text(f"---\n{yaml.safe_dump(front, sort_keys=False, allow_unicode=True)}---\n{body.rstrip()}\n")
-            os.replace(temp, file)
+            _replace(file, f"---\n{yaml.safe_dump(front, sort_keys=False, allow_unicode=True)}---\n\n{body.strip()}\n")
             day = self.today()
             try:
-                log = Path(self.root, "daily", f"{day}.md")
+                log, entry = Path(self.root, "Daily", f"{day}.md"), f"- [[{id}]]: {daily_summary.strip()}\n"
                 log.parent.mkdir(exist_ok=True)
-                head = "" if log.exists() else f"# {day}\n\n"
-                with log.open("a") as f:
-                    f.write(f"{head}- [{title}](../{id}.md): {daily_summary}\n")
+                old = log.read_text() if log.exists() else f"# {day}\n\n## Log\n\n"
+                _replace(log, old + ("" if not old or old.endswith("\n") else "\n") + entry)
             except OSError as e:
                 if before is None:
                     file.unlink()
                 else:
                     file.write_bytes(before)
-                raise ToolError(f"Daily log can't be written, the note was taken back: {e}") from e
-            return f"Wrote {normalize_one(f'{id}.md')} and logged it under {day}."
+                raise ToolError(f"Failed to update daily log file: {e}") from e
+            return f"Successfully wrote canonical note '{id}' and updated daily log Daily/{day}.md"
 
     CALLS = {"query": "query", "inspect": "inspect", "lint": "lint", "vault_read": "read", "vault_write_canonical": "write"}
 
@@ -132,7 +162,7 @@ class Tools:
         if method == "ping":
             return ok({})
         if method == "tools/list":
-            return ok({"tools": [{"name": n, "inputSchema": {"type": "object"}} for n in self.CALLS]})
+            return ok({"tools": [{"name": n, "description": said, "inputSchema": schema} for n, (said, schema) in TOOLS.items()]})
         if method != "tools/call":
             return bad(-32601, f"Method not found: {method}")
         if params.get("name") not in self.CALLS:
