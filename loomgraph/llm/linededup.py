@@ -76,29 +76,30 @@ def threshold(length: Column, edits: int = EDITS, chars: int = CHARS) -> Column:
     return F.least(F.lit(edits), (length / chars).cast("int"))
 
 
-def near_lines(x: Column, y: Column, edits: int = EDITS, chars: int = CHARS) -> Column:
-    """Whether two lines are within their threshold; what they share at the beginning and the end is left out first."""
+def _shared(a: Column, b: Column, end) -> Column:
+    """How many characters two texts share at one end (``F.left`` or ``F.right``), by bisection."""
+    most = F.least(F.length(a), F.length(b))
+
+    def halved(s: Column, _: Column) -> Column:
+        def tried(t: Column) -> Column:
+            return F.struct(F.when(t.same, t.m).otherwise(s.lo).alias("lo"), F.when(t.same, s.hi).otherwise(t.m - 1).alias("hi"))
 
-    def shared(z: Column, end) -> Column:
-        """How many characters of z.a and z.b agree at one end, by bisection."""
-        most = F.least(F.length(z.a), F.length(z.b))
+        m = ((s.lo + s.hi + 1) / 2).cast("int")
+        return F.when(s.lo >= s.hi, s).otherwise(_let({"m": m, "same": end(a, m) == end(b, m)}, tried))
 
-        def halved(s: Column, _: Column) -> Column:
-            def tried(t: Column) -> Column:
-                return F.struct(F.when(t.same, t.m).otherwise(s.lo).alias("lo"), F.when(t.same, s.hi).otherwise(t.m - 1).alias("hi"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(most + 2)).cast("int") + 1)
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), most.alias("hi")), halved, lambda s: s.lo)
 
-            m = ((s.lo + s.hi + 1) / 2).cast("int")
-            return F.when(s.lo >= s.hi, s).otherwise(_let({"m": m, "same": end(z.a, m) == end(z.b, m)}, tried))
 
-        rounds = F.sequence(F.lit(1), F.ceil(F.log2(most + 2)).cast("int") + 1)
-        return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), most.alias("hi")), halved, lambda s: s.lo)
+def near_lines(x: Column, y: Column, edits: int = EDITS, chars: int = CHARS) -> Column:
+    """Whether two lines are within their threshold; what they share at the beginning and the end is left out first."""
 
     def without_head(z: Column) -> Column:
-        return _let({"head": shared(z, F.left)}, lambda h: _let({"a": F.substr(z.a, h.head + 1), "b": F.substr(z.b, h.head + 1)}, without_tail))
+        return _let({"head": _shared(z.a, z.b, F.left)}, lambda h: _let({"a": F.substr(z.a, h.head + 1), "b": F.substr(z.b, h.head + 1)}, without_tail))
 
     def without_tail(z: Column) -> Column:
         chars_of = lambda s, tail: F.filter(F.split(F.left(s, F.length(s) - tail), ""), lambda c: c != "")
-        return _let({"tail": shared(z, F.right)}, lambda t: banded_distance(chars_of(z.a, t.tail), chars_of(z.b, t.tail), edits))
+        return _let({"tail": _shared(z.a, z.b, F.right)}, lambda t: banded_distance(chars_of(z.a, t.tail), chars_of(z.b, t.tail), edits))
 
     allowed = threshold(F.least(F.length(x), F.length(y)), edits, chars)
     return F.when(F.abs(F.length(x) - F.length(y)) > allowed, F.lit(False)).otherwise(_let({"a": x, "b": y}, without_head) <= allowed)
@@ -186,35 +187,31 @@ def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int
     hashes = written(small.select("hash").distinct())
     text = lines.join(hashes.hint("merge"), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line"))
     text = written(text.join(first.select("hash", "hash2", "first"), ["hash", "hash2"]))
-    # entries: what is left of a line under a key, and what it takes there
     order = F.struct("first", "line", "hash", "hash2")
-    level = small.select("key", "hash", "side")
-    met, rest = [], None
+    # the level: keys with their lines; from the second on, also what is left of each line under the key
+    level, met = small.select("key", "hash", "side"), []
     while True:
-        size = written(level.groupBy("key").agg(F.count_distinct("hash").alias("n"), F.bool_or(_is_index(F.col("side"))).alias("index")).where("n > 1 and index").select("key", (F.col("n") > full).alias("hot")))
+        size = level.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"), F.bool_or(_is_index(F.col("side"))).alias("index"))
+        size = written(size.where("low < high and index").select("key", (F.col("n") > full).alias("hot")))
         n_hot = size.where("hot").count()
-        hot = broadcast_if_small(size.where("hot").select("key"), n_hot)
-        cold = level.join(size.where("not hot").select("key"), "key", "left_semi")
-        met.append(_pairs(cold))
+        met.append(_pairs(level.join(size.where("not hot").select("key"), "key", "left_semi")))
         if not n_hot:
             break
-        entry = level.join(hot, "key")
-        if rest is None:
-            entry = entry.join(text.select("hash", "line"), "hash").select("key", "hash", "side", F.col("line").alias("rest"))
-        d, parts, _, _ = _of_side(F.col("side"))
-        entry = written(entry.select("key", "hash", d.alias("d"), _is_index(F.col("side")).alias("index"), (parts - 1).alias("t"), _rest(F.col("rest"), F.length("rest") - d, F.col("side")).alias("rest")).distinct())
-        of = F.length("rest") - F.col("d")
+        entry = level.join(broadcast_if_small(size.where("hot").select("key"), n_hot), "key")
+        if "rest" not in level.columns:
+            d, _, _, _ = _of_side(F.col("side"))
+            entry = entry.join(text.select("hash", "line"), "hash").withColumn("rest", _rest(F.col("line"), F.length("line") - d, F.col("side")))
+        entry = written(_trimmed(entry, n_hot))
         # nothing left to cut: indexed lines are within the threshold of each other, the others are paired with them
-        done = entry.where(of <= F.col("t"))
+        done = entry.where("n <= t")
         alike = done.where("index").join(text.select("hash", order.alias("at")), "hash")
         lead = alike.groupBy("key").agg(F.min("at").alias("lead"))
         met.append(alike.join(lead, "key").select(F.col("lead.hash").alias("a"), F.col("hash").alias("b")).where("a <> b"))
         met.append(_bipartite(done))
-        cuts = F.array(*(k for d in range(edits + 1) for k in _segment_keys(F.col("rest"), of, F.when(F.col("d") == d, F.col("t")), d, edits, F.col("key"))))
-        opened = entry.where(of > F.col("t")).select("hash", "rest", "index", F.explode(cuts).alias("k")).where("k is not null")
+        cuts = F.array(*(k for d in range(edits + 1) for k in _segment_keys(F.col("rest"), F.col("n"), F.when(F.col("d") == d, F.col("t")), d, edits, F.col("key"))))
+        opened = entry.where("n > t").select("hash", "rest", "n", "index", F.explode(cuts).alias("k")).where("k is not null")
         side = F.when(F.col("index"), F.col("k.side")).otherwise(F.col("k.side").bitwiseAND(F.lit(INDEX - 1)))
-        rest = opened.select("k.key", "hash", side.alias("side"), "rest")
-        level = written(rest)
+        level = written(opened.select("k.key", "hash", side.alias("side"), _rest(F.col("rest"), F.col("n"), F.col("k.side")).alias("rest")).distinct())
     every = met[0]
     for more in met[1:]:
         every = every.union(more)
@@ -228,6 +225,22 @@ def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int
     return both.select(pick("a", "b").alias("a"), pick("a2", "b2").alias("a2"), pick("b", "a").alias("b"), pick("b2", "a2").alias("b2"))
 
 
+def _trimmed(entry: DataFrame, keys: int) -> DataFrame:
+    """(key, hash, d, index, t, n, rest): ``rest`` without what all of its key begin and end with, which no edit need touch.
+
+    ``n`` is the length of what is left of the indexed lines. The least and the greatest of a key's texts begin alike only with
+    what all begin with; the same for the texts from behind.
+    """
+    back = F.reverse("rest")
+    ends = entry.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("x"), F.max(back).alias("y"), F.min(F.length("rest")).alias("least"))
+    ends = ends.select("key", "least", _shared(F.col("a"), F.col("b"), F.left).alias("head"), _shared(F.col("x"), F.col("y"), F.left).alias("tail"))
+    ends = ends.select("key", "head", F.least(F.col("tail"), F.col("least") - F.col("head")).alias("tail"))
+    d, parts, _, _ = _of_side(F.col("side"))
+    trimmed = entry.join(broadcast_if_small(ends, keys), "key")
+    trimmed = trimmed.select("key", "hash", d.alias("d"), _is_index(F.col("side")).alias("index"), (parts - 1).alias("t"), F.substr("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail")).alias("rest"))
+    return trimmed.withColumn("n", F.length("rest") - F.col("d")).distinct()
+
+
 def _pairs(level: DataFrame) -> DataFrame:
     """Indexed lines with all others under their key."""
     index = _is_index(F.col("side"))
