@@ -7,11 +7,12 @@ id, then by text. Blank lines always stay.
 A line of n characters with threshold t is cut into t + 1 segments and indexed under each. A line of n + d characters probes
 that index with its substrings that can equal a segment: within t edits one segment is untouched, with at most i edits before
 segment i and t - i after it, which bounds how far the substring may have moved. Pairs that meet are verified by banded
-bit-parallel edit distance: a column of the band is one machine word.
+bit-parallel edit distance: a column of the band is one machine word. Before that, sketches are compared: an edit changes four
+pairs of neighbouring characters at most, so it changes four bits at most of the parities of such pairs.
 
 Keys shared by more than ``full`` lines (boilerplate with small changes) are not paired. Their lines are opened: the rest of
 each line, without the segment that agrees, is within the threshold too, so it is cut and probed again under the key, and
-again, until few lines share a key. No link is lost on the way. Where less is left than the threshold, all indexed lines of a
+again, until few lines share a key; what all lines of a key begin and end with is left out first. No link is lost on the way. Where less is left than the threshold, all indexed lines of a
 key are within it of each other, and each is linked to the earliest of them.
 """
 
@@ -105,6 +106,16 @@ def near_lines(x: Column, y: Column, edits: int = EDITS, chars: int = CHARS) ->
     return F.when(F.abs(F.length(x) - F.length(y)) > allowed, F.lit(False)).otherwise(_let({"a": x, "b": y}, without_head) <= allowed)
 
 
+def sketch(line: Column) -> Column:
+    """64 parities: of how many pairs of neighbouring characters hash to each bit."""
+
+    def of(z: Column) -> Column:
+        pairs = F.transform(z.c, lambda c, i: F.pmod(F.xxhash64(c, F.get(z.c, i + 1)), F.lit(64)).cast("int"))
+        return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, bit: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+
+    return _let({"c": F.split(line, "")}, of)
+
+
 #: A key's side, in bits of an int: the difference in length, the number of segments, the segment, its move + 8, an index entry or not.
 INDEX = 1 << 14
 
@@ -172,7 +183,7 @@ def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", keys.alias("keys"))
 
 
-def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 8) -> DataFrame:
+def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
     """Pairs (a, a2, b, b2) of the hashes of different lines within their threshold, the earlier line first.
 
     ``narrow`` has the keys, ``first`` (hash, hash2, first) the first document of each line, and ``lines`` (hash, hash2, line)
@@ -185,11 +196,11 @@ def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int
     # both joins shuffle at every size: what is shared grows with the lines
     small = written(keys.join(written(shared).hint("merge"), "key").distinct())
     hashes = written(small.select("hash").distinct())
-    text = lines.join(hashes.hint("merge"), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line"))
+    text = lines.join(hashes.hint("merge"), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line")).withColumn("sketch", sketch(F.col("line")))
     text = written(text.join(first.select("hash", "hash2", "first"), ["hash", "hash2"]))
     order = F.struct("first", "line", "hash", "hash2")
     # the level: keys with their lines; from the second on, also what is left of each line under the key
-    level, met = small.select("key", "hash", "side"), []
+    level, met = written(small.join(text.select("hash", "sketch"), "hash").select("key", "hash", "side", "sketch")), []
     while True:
         size = level.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"), F.bool_or(_is_index(F.col("side"))).alias("index"))
         size = written(size.where("low < high and index").select("key", (F.col("n") > full).alias("hot")))
@@ -209,9 +220,9 @@ def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int
         met.append(alike.join(lead, "key").select(F.col("lead.hash").alias("a"), F.col("hash").alias("b")).where("a <> b"))
         met.append(_bipartite(done))
         cuts = F.array(*(k for d in range(edits + 1) for k in _segment_keys(F.col("rest"), F.col("n"), F.when(F.col("d") == d, F.col("t")), d, edits, F.col("key"))))
-        opened = entry.where("n > t").select("hash", "rest", "n", "index", F.explode(cuts).alias("k")).where("k is not null")
+        opened = entry.where("n > t").select("hash", "sketch", "rest", "n", "index", F.explode(cuts).alias("k")).where("k is not null")
         side = F.when(F.col("index"), F.col("k.side")).otherwise(F.col("k.side").bitwiseAND(F.lit(INDEX - 1)))
-        level = written(opened.select("k.key", "hash", side.alias("side"), _rest(F.col("rest"), F.col("n"), F.col("k.side")).alias("rest")).distinct())
+        level = written(opened.select("k.key", "hash", side.alias("side"), "sketch", _rest(F.col("rest"), F.col("n"), F.col("k.side")).alias("rest")).distinct())
     every = met[0]
     for more in met[1:]:
         every = every.union(more)
@@ -226,7 +237,7 @@ def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int
 
 
 def _trimmed(entry: DataFrame, keys: int) -> DataFrame:
-    """(key, hash, d, index, t, n, rest): ``rest`` without what all of its key begin and end with, which no edit need touch.
+    """(key, hash, sketch, d, index, t, n, rest): ``rest`` without what all of its key begin and end with, which no edit need touch.
 
     ``n`` is the length of what is left of the indexed lines. The least and the greatest of a key's texts begin alike only with
     what all begin with; the same for the texts from behind.
@@ -237,15 +248,17 @@ def _trimmed(entry: DataFrame, keys: int) -> DataFrame:
     ends = ends.select("key", "head", F.least(F.col("tail"), F.col("least") - F.col("head")).alias("tail"))
     d, parts, _, _ = _of_side(F.col("side"))
     trimmed = entry.join(broadcast_if_small(ends, keys), "key")
-    trimmed = trimmed.select("key", "hash", d.alias("d"), _is_index(F.col("side")).alias("index"), (parts - 1).alias("t"), F.substr("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail")).alias("rest"))
+    trimmed = trimmed.select("key", "hash", "sketch", d.alias("d"), _is_index(F.col("side")).alias("index"), (parts - 1).alias("t"), F.substr("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail")).alias("rest"))
     return trimmed.withColumn("n", F.length("rest") - F.col("d")).distinct()
 
 
 def _pairs(level: DataFrame) -> DataFrame:
-    """Indexed lines with all others under their key."""
+    """Indexed lines with all others under their key whose sketches allow it."""
     index = _is_index(F.col("side"))
-    one = level.where(index).select("key", F.col("hash").alias("a"))
-    return one.join(level.select("key", F.col("hash").alias("b"), index.alias("index")), "key").where("a < b or (a > b and not index)").select("a", "b")
+    _, parts, _, _ = _of_side(F.col("side"))
+    one = level.where(index).select("key", F.col("hash").alias("a"), F.col("sketch").alias("a_sketch"), (4 * (parts - 1)).alias("most"))
+    both = one.join(level.select("key", F.col("hash").alias("b"), F.col("sketch").alias("b_sketch"), index.alias("index")), "key")
+    return both.where("(a < b or (a > b and not index)) and bit_count(a_sketch ^ b_sketch) <= most").select("a", "b")
 
 
 def _bipartite(done: DataFrame) -> DataFrame:
@@ -254,7 +267,7 @@ def _bipartite(done: DataFrame) -> DataFrame:
     return one.join(done.where("not index").select("key", F.col("hash").alias("b")), "key").where("a <> b").select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS, full: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
     """(doc, n_lines, n_gone, n_near): each row of ``docs`` as a struct, its text without repeated lines; how many lines it had, how
     many went, and how many of these went for an earlier line that is only near.
 
