@@ -296,6 +296,8 @@ def test_lines(spark):
         assert p.where(F.least(F.levenshtein("a", "b"), F.lit(k + 1)) != F.least(linededup.banded_distance(F.split("a", ""), F.split("b", ""), k), F.lit(k + 1))).count() == 0
         allowed = F.least(F.lit(k), (F.least(F.length("a"), F.length("b")) / 8).cast("int"))
         assert p.where((F.levenshtein("a", "b") <= allowed) != linededup.near_lines(F.col("a"), F.col("b"), k, 8)).count() == 0
+    differ = F.bit_count(linededup.sketch(F.col("a")).bitwiseXOR(linededup.sketch(F.col("b"))))
+    assert p.where(differ > 4 * F.levenshtein("a", "b")).count() == 0 and p.where(differ > 0).count() > 0
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
