@@ -197,6 +197,12 @@ select string_agg('part-' || here, ' -> ' order by i) as cycle, count(*) as n fr
     "current_scoped": f"""with recursive {_CHAIN}, {_STEP}
 select seed, case when hops > 0 then 'superseded' when miss.dst is not null then 'current_in_scope' else 'current' end as status, here as active_guidance_id, cast(hops as bigint) as hops
 from (select seed, max_by(here, hops) as here, max(hops) as hops from walk group by seed) left join miss on miss.dst = seed""",
+    "current_conflicts": f"""with recursive {_TIES},
+step as (select dst, case when n = 1 then any_src when n_live = 1 then live_src end as nxt, case when n = 1 or n_live = 1 then null when n_live > 1 then 'competing_successors' else 'superseded_without_active_successor' end as conflict
+  from (select dst, count(*) as n, count(live.k) as n_live, min(src) as any_src, min(live.k) as live_src from edge left join act as live on live.k = src group by dst)),
+walk(seed, here, hops) as (select k, k, 0 from o union all select seed, nxt, hops + 1 from walk join step on here = dst where nxt is not null)
+select case when conflict is not null then 'unresolved_conflict' when hops > 0 then 'superseded' else 'current' end as status, conflict, count(*) as n
+from (select seed, max_by(here, hops) as here, max(hops) as hops from walk group by seed) left join step on dst = here group by all""",
     "current_contradictions": f"""with {_OPINION}, hit as (select a as k from con where b % 7 <> 0 union select b from con where a % 7 <> 0)
 select 'doc-' || doc_id as seed, case when k is null then 'current' else 'unresolved_conflict' end as status, case when k is not null then 'contradiction' end as conflict from d left join hit on k = doc_id""",
     "current_advisories": f"with {_CHAIN} select 'order-' || before as id, 'A successor exists in another scope: ''' || id || ''' (scope: [priority=' || pr || ', status=' || st || '])' as advisory from chain where before is not null and st <> 'O'",
