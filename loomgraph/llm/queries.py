@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm import bpe
 from loomgraph.llm.chat import digests, format_chats
 from loomgraph.llm.common import table
 from loomgraph.llm.embed import near_vectors
 from loomgraph.llm.linededup import dedup_lines
+from loomgraph.llm.manifest import leaf_digest, manifest, verified
 from loomgraph.llm.mixing import cycled_weights, mix
 from loomgraph.llm.packing import pack
 from loomgraph.llm.pii import find_personal_data
@@ -74,16 +76,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, docs, table(spark, sf_dir, "labels")).select("doc.doc_id", "*").drop("doc")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, sf_dir, "documents").select(*columns)
+    odd = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    docs = docs.withColumn("tampered", F.when(odd, leaf_digest("doc_id", "source", "lang", F.col("n_chars") + 1, "text")))
+    made = manifest(docs, columns, "lang", "doc_id", "doc_id", "tampered")
+    made = verified(made.withColumn("now", F.coalesce("own.tampered", "leaf")), "now")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return made.select("own.doc_id", text("leaf"), text("subroot"), text("root"), "proof_sha256", text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
+    return bpe.digests(encoded, *vocabulary).select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_embeddings, op4_pii, op5_secrets, op6_lines, op7_quality, op8_mixing, op9_packing, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_embeddings, op4_pii, op5_secrets, op6_lines, op7_quality, op8_mixing, op9_packing, op10_toxicity, op11_manifest, op13_bpe, pipeline)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: list_transform(range(8), lambda b: (ascii(ch) >> b) & 1)))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, case when xor(c, b) & 1 = 1 then 3988292384 else 0 end), cast(4294967295 as bigint)), 4294967295)"
+
+
+def _leaf(*columns: str) -> str:
+    said = " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in columns)
+    return f"sha256({said})"
+
+
 SQL = {
     "op2_chat": r"""
 with said as (
@@ -145,4 +178,25 @@ f as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or word_chars * 2 < n_words * 3 or word_chars > 20 * n_words or n_symbols * 4 > n_words or 2 * n_dup_lines > n_lines or 2 * caps > word_chars or 2 * digits > word_chars) as kept
 from f""",
+    "op11_manifest": f"""
+with recursive docs as (select doc_id, case when lang is null then '' else '=' || lang end as k, {_leaf("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+  case when {_crc32("cast(doc_id as varchar)")} % 7 = 0 then {_leaf("doc_id", "source", "lang", "(n_chars + 1)", "text")} end as other from documents),
+leaves as (select *, row_number() over (order by k, doc_id nulls first, leaf) as id, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by k) as n from docs),
+node(k, level, pos, n, h) as (
+  select k, 0, pos, n, leaf from leaves
+  union all select k, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from node where n > 1 group by k, level, pos // 2, n),
+sub as (select k, h, row_number() over (order by k) - 1 as pos, count(*) over () as n from node where n = 1),
+above(level, pos, n, h) as (
+  select 0, pos, n, h from sub
+  union all select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from above where n > 1 group by level, pos // 2, n),
+walk(id, k, level, pos, n, own, proof) as (
+  select id, k, 0, pos, n, coalesce(other, leaf), '' from leaves
+  union all select id, walk.k, walk.level + 1, walk.pos // 2, (walk.n + 1) // 2, sha256(case when h is null then own when walk.pos % 2 = 1 then h || own else own || h end), proof || coalesce(h, '')
+  from walk left join node on node.k = walk.k and node.level = walk.level and node.pos = xor(walk.pos, 1) where walk.n > 1),
+walk2(id, level, pos, n, own, proof) as (
+  select id, 0, sub.pos, sub.n, own, proof from walk join sub using (k) where walk.n = 1
+  union all select id, walk2.level + 1, walk2.pos // 2, (walk2.n + 1) // 2, sha256(case when h is null then own when walk2.pos % 2 = 1 then h || own else own || h end), proof || coalesce(h, '')
+  from walk2 left join above on above.level = walk2.level and above.pos = xor(walk2.pos, 1) where walk2.n > 1)
+select doc_id, leaf, sub.h as subroot, root, sha256(proof) as proof_sha256, own as folded_root, own = root as verified
+from leaves join walk2 using (id) join sub using (k), (select h as root from above where n = 1) where walk2.n = 1""",
 }
