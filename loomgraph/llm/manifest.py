@@ -2,7 +2,7 @@
 
 The node store lies outside memory. Leaves are sorted by group and key into runs, and numbered there: a run's rows have their place
 within the run, and what lies in earlier runs is known from one small count for each run and group. A node's coordinate is (group,
-level, place); two consecutive nodes of a level make the node at half their place. Aligned runs of ``SPAN`` nodes are whole subtrees:
+level, place); two consecutive nodes of a level make the node at half their place. Aligned runs of 4096 nodes are whole subtrees:
 a task reads such runs in order, each level from the one before, and writes the levels into Parquet partitioned by level; the top level
 of all runs is what the next pass reads. Proofs are extracted from the top down by merging sorted scans: the proof of a run's top, the
 nodes of the run level by level, then its leaves, each of which leaves with its siblings. A task holds one run at a time.
@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import broadcast_if_small, scratch, workers_find_us, written
 
-#: Levels that one pass builds, and the nodes of a run.
+#: Levels that one pass builds; a run has so many nodes that one is left on top.
 LEVELS = 12
-SPAN = 1 << LEVELS
 #: A step of a proof: whether the sibling stands left or right of the path, or there is none, then its digest.
 LEFT, RIGHT, ALONE = b"L", b"R", b"-"
 STEP = 33
@@ -109,9 +108,11 @@ class Tree:
     leaves: DataFrame
     passes: list[DataFrame]
     """Of each pass (level, key, n, pos, digest), the levels above what it read up to the top of its runs."""
+    levels: int = LEVELS
+    """How many levels a pass builds."""
 
     @classmethod
-    def built(cls, leaves: DataFrame) -> Tree:
+    def built(cls, leaves: DataFrame, levels: int = LEVELS) -> Tree:
         spark = leaves.sparkSession
         workers_find_us(spark)
         path = f"{scratch(spark)}/nodes-{uuid.uuid4().hex}"
@@ -124,7 +125,7 @@ class Tree:
                 def nodes() -> Iterator[tuple]:
                     for own in _runs(batches, "key", "run"):
                         key, n, at, row = own[0][0], own[0][2], own[0][3], [x[4] for x in own]
-                        for level in range(base + 1, base + LEVELS + 1):
+                        for level in range(base + 1, base + levels + 1):
                             if n <= 1 << level - 1:  # one node was left: the tree's root
                                 break
                             row, at = [joined_hash(*row[i : i + 2]) for i in range(0, len(row), 2)], at >> 1
@@ -133,13 +134,13 @@ class Tree:
 
                 return _chunks(nodes(), schema)
 
-            runs = entry.select("key", F.shiftright("pos", LEVELS).alias("run"), "n", "pos", "digest").repartition("key", "run").sortWithinPartitions("key", "run", "pos")
+            runs = entry.select("key", F.shiftright("pos", levels).alias("run"), "n", "pos", "digest").repartition("key", "run").sortWithinPartitions("key", "run", "pos")
             runs.mapInArrow(climbed, "level int, key string, n long, pos long, digest binary").write.partitionBy("level").parquet(f"{path}/{base}")
             nodes = spark.read.schema("key string, n long, pos long, digest binary, level int").parquet(f"{path}/{base}")
             passes.append(nodes)
-            base += LEVELS
+            base += levels
             entry = nodes.where((F.col("level") == base) & (F.col("n") > F.lit(1 << base)))
-        return cls(leaves, passes)
+        return cls(leaves, passes, levels)
 
     def roots(self) -> DataFrame:
         """(key, n, digest): the last node of each tree."""
@@ -154,27 +155,27 @@ class Tree:
         each key's own proof, and what is known of its root."""
         above = None
         for k in range(max(len(self.passes), 1) - 1, -1, -1):
-            base = k * LEVELS
+            base = k * self.levels
             entry = self.leaves if k == 0 else self.passes[k - 1].where((F.col("level") == base) & (F.col("n") > F.lit(1 << base)))
             # trees that end in this pass, and runs of greater ones
-            tops = beyond.where((F.col("n") <= F.lit(1 << (base + LEVELS))) & (F.col("n") > F.lit(1 << base if k else 0))).select("key", F.lit(0).cast("long").alias("run"), "proof", "root")
+            tops = beyond.where((F.col("n") <= F.lit(1 << (base + self.levels))) & (F.col("n") > F.lit(1 << base if k else 0))).select("key", F.lit(0).cast("long").alias("run"), "proof", "root")
             if above is not None:
                 tops = tops.union(above.select("own.key", "own.pos", "proof", "root"))
             own = F.struct(*carried) if k == 0 else F.struct("key", "pos")
-            above = _merged(entry.withColumn("own", own), self.passes[k] if self.passes else None, tops, base)
+            above = _merged(entry.withColumn("own", own), self.passes[k] if self.passes else None, tops, base, self.levels)
             above = written(above) if k else above
         return above
 
 
-def _merged(entry: DataFrame, nodes: DataFrame | None, tops: DataFrame, base: int) -> DataFrame:
+def _merged(entry: DataFrame, nodes: DataFrame | None, tops: DataFrame, base: int, levels: int) -> DataFrame:
     """(own, digest, proof, root) of the nodes that a pass read: a run's top, its inner nodes and these come in one sorted stream."""
     null = lambda t: F.lit(None).cast(t)
     own, root = entry.schema["own"].dataType, tops.schema["root"].dataType
-    rows = entry.select("key", F.shiftright("pos", LEVELS).alias("run"), F.lit(base).alias("level"), "pos", "n", "digest", null("binary").alias("proof"), "own", null(root).alias("root"))
-    rows = rows.union(tops.select("key", "run", F.lit(base + LEVELS), null("long"), null("long"), null("binary"), "proof", null(own), "root"))
+    rows = entry.select("key", F.shiftright("pos", levels).alias("run"), F.lit(base).alias("level"), "pos", "n", "digest", null("binary").alias("proof"), "own", null(root).alias("root"))
+    rows = rows.union(tops.select("key", "run", F.lit(base + levels), null("long"), null("long"), null("binary"), "proof", null(own), "root"))
     if nodes is not None:
-        run = F.call_function("shiftright", F.col("pos"), F.lit(base + LEVELS) - F.col("level"))
-        rows = rows.union(nodes.where(F.col("level") < base + LEVELS).select("key", run, "level", "pos", "n", "digest", null("binary"), null(own), null(root)))
+        run = F.call_function("shiftright", F.col("pos"), F.lit(base + levels) - F.col("level"))
+        rows = rows.union(nodes.where(F.col("level") < base + levels).select("key", run, "level", "pos", "n", "digest", null("binary"), null(own), null(root)))
     stream = rows.repartition("key", "run").sortWithinPartitions("key", "run", F.desc("level"), "pos")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def _merged(entry: DataFrame, nodes: DataFrame | None, tops: DataFrame, base: in
                 for _, _, level, pos, n, digest, _, own, _ in below:
                     if level == base:
                         if pos >> 1 != parent:  # both children of a node share what is above it
-                            parent, rest = pos >> 1, _steps(at, base, n, pos, 1, LEVELS) + top[6]
+                            parent, rest = pos >> 1, _steps(at, base, n, pos, 1, levels) + top[6]
                         yield own, digest, _steps(at, base, n, pos, 0, 1) + rest, top[8]
 
         yield from _chunks(leaves(), schema)
@@ -208,7 +209,7 @@ def _steps(at: dict[tuple[int, int], bytes], base: int, n: int, pos: int, begin:
     return b"".join(out)
 
 
-def manifest(rows: DataFrame, columns: tuple[str, ...], group: str, order: str, *carried: str) -> DataFrame:
+def manifest(rows: DataFrame, columns: tuple[str, ...], group: str, order: str, *carried: str, levels: int = LEVELS) -> DataFrame:
     """(own, leaf, subroot, root, proof): each row's leaf, the hash of its group's tree and of the whole, and its proof.
 
     A leaf hashes ``columns``. Leaves of one ``group`` stand by ``order`` (null first), then by their hash; groups by UTF-8 bytes, null
@@ -217,9 +218,9 @@ def manifest(rows: DataFrame, columns: tuple[str, ...], group: str, order: str,
     row is a tree by itself; no rows give no rows. Other columns, whatever their names, aren't read.
     """
     leaves = rows.select(group_key(F.col(group)).alias("key"), F.col(order).alias("_order"), leaf_digest(*columns).alias("digest"), F.struct(*carried).alias("own"))
-    tree = Tree.built(numbered(leaves, "key", "_order", "digest"))
+    tree = Tree.built(numbered(leaves, "key", "_order", "digest"), levels)
     roots = written(tree.roots())
-    top = Tree.built(numbered(roots.select(F.lit("").alias("key"), F.col("key").alias("group"), "digest", F.col("n").alias("leaves")), "key", "group"))
+    top = Tree.built(numbered(roots.select(F.lit("").alias("key"), F.col("key").alias("group"), "digest", F.col("n").alias("leaves")), "key", "group"), levels)
     whole = top.roots().select("key", "n", F.lit(b"").alias("proof"), F.struct("digest").alias("root"))
     subroots = written(top.proofs(whole, "group", "leaves"))
     beyond = subroots.select(F.col("own.group").alias("key"), F.col("own.leaves").alias("n"), "proof", F.struct(F.col("digest").alias("subroot"), F.col("root.digest").alias("root")).alias("root"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe
+from loomgraph.llm import bpe, repair
 from loomgraph.llm.chat import digests, format_chats
 from loomgraph.llm.common import table
 from loomgraph.llm.embed import near_vectors
 from loomgraph.llm.linededup import dedup_lines
-from loomgraph.llm.manifest import leaf_digest, manifest, verified
+from loomgraph.llm.manifest import group_key, leaf_digest, manifest, verified
 from loomgraph.llm.mixing import cycled_weights, mix
 from loomgraph.llm.packing import pack
 from loomgraph.llm.pii import find_personal_data
@@ -87,6 +87,25 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("own.doc_id", text("leaf"), text("subroot"), text("root"), "proof_sha256", text("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a checksum of id and turn: rows lost, emptied, without their ends of sentences, twice, or by
+    a wrong role. Nulls count as one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    out = rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), kind.alias("kind"))
+    return out.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("kind", "copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    placed, report = repair.repair(damaged(rows))
+    report = report.drop("conv_id").join(repair.digests(placed, report.select("key", "audit")), "key")
+    convs = rows.select("conv_id").distinct().withColumn("key", group_key(F.col("conv_id")))
+    count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    return convs.join(report, "key", "left").select("conv_id", *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_embeddings, op4_pii, op5_secrets, op6_lines, op7_quality, op8_mixing, op9_packing, op10_toxicity, op11_manifest, op13_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_embeddings, op4_pii, op5_secrets, op6_lines, op7_quality, op8_mixing, op9_packing, op10_toxicity, op11_manifest, op12_repair, op13_bpe, pipeline)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -199,4 +218,30 @@ walk2(id, level, pos, n, own, proof) as (
   from walk2 left join above on above.level = walk2.level and above.pos = xor(walk2.pos, 1) where walk2.n > 1)
 select doc_id, leaf, sub.h as subroot, root, sha256(proof) as proof_sha256, own as folded_root, own = root as verified
 from leaves join walk2 using (id) join sub using (k), (select h as root from above where n = 1) where walk2.n = 1""",
+    "op12_repair": rf"""
+with recursive kinds as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind from conversations),
+hurt as (
+  select conv_id, turn, c, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, range(2) copy(c) where kind <> 0 and (c = 0 or kind = 3)),
+row as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, c) - 1 as i, row_number() over (partition by conv_id, role, text order by turn nulls first, c) as seen,
+    right(rtrim(text, E' \t\n\x0b\x0c\r'), 1) as final, left(role, 1) as ini, lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text, c) as before from hurt),
+flaw as (select *, case when final = '' then 'blank' when seen > 1 then 'duplicate' when final not in ('.', '!', '?') then 'truncated' end as fault from row),
+edit(st, ini, e, add, st2, said) as (values (0, 's', 'K', 0, 1, null), (0, 'u', 'K', 0, 2, null), (1, 'u', 'K', 0, 2, null), (2, 'a', 'K', 0, 3, null), (3, 'u', 'K', 0, 2, null),
+  (0, null, 'R', 3, 2, 'user'), (1, null, 'R', 3, 2, 'user'), (2, null, 'R', 3, 3, 'assistant'), (3, null, 'R', 3, 2, 'user'), (0, null, 'D', 4, 0, null), (1, null, 'D', 4, 1, null), (2, null, 'D', 4, 2, null), (3, null, 'D', 4, 3, null)),
+put(st, e, add, st2, said) as (values (0, '', 0, 0, ''), (0, 'I', 3, 2, E'user:\n'), (0, 'II', 6, 3, E'user:\nassistant:\n'), (1, '', 0, 1, ''), (1, 'I', 3, 2, E'user:\n'), (1, 'II', 6, 3, E'user:\nassistant:\n'),
+  (2, '', 0, 2, ''), (2, 'I', 3, 3, E'assistant:\n'), (3, '', 0, 3, ''), (3, 'I', 3, 2, E'user:\n')),
+walk(conv_id, st, i, best) as (
+  select conv_id, st2, 0, {{'cost': add, 'audit': e, 'out': said}} from (select distinct conv_id from hurt), put where st = 0
+  union all
+  select w.conv_id, p.st2, w.i + 1, min({{'cost': w.best.cost + d.add + p.add + case when fault = 'truncated' and d.e <> 'D' then 3 else 0 end, 'audit': w.best.audit || d.e || p.e,
+    'out': w.best.out || case when d.e = 'D' then '' else coalesce(d.said, f.role) || ':' || f.text || chr(10) end || p.said}})
+  from walk w join flaw f on f.conv_id is not distinct from w.conv_id and f.i = w.i join edit d on d.st = w.st and (d.ini is null or d.ini = f.ini) and (d.e = 'D' or coalesce(fault, '') not in ('blank', 'duplicate')) join put p on p.st = d.st2
+  group by w.conv_id, p.st2, w.i),
+done as (select conv_id, min(best) as best from walk where st in (0, 3) and i = (select count(*) from hurt where hurt.conv_id is not distinct from walk.conv_id) group by conv_id),
+sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (i > 0 and before || ini not in ('su', 'ua', 'au')) as illegal from flaw group by conv_id)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  cast(coalesce(best.cost, 0) as bigint) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(left(best.out, length(best.out) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join sums on sums.conv_id is not distinct from o.conv_id left join done on done.conv_id is not distinct from o.conv_id""",
 }
