@@ -30,7 +30,7 @@ from loomgraph.llm.common import batch, workers_find_us
 BASE = 0x100
 UNKNOWN = "⁇"
 #: Sizes of one step: texts of so many characters together, so many pre-tokens of a text at once, so many remembered ones of such length.
-TEXTS, AT_ONCE, REMEMBERED, SHORT = 1 << 22, 1 << 16, 1 << 18, 48
+TEXTS, AT_ONCE, REMEMBERED, SHORT = 1 << 20, 1 << 18, 1 << 19, 48
 _coders: dict[tuple[str, str], Coder] = {}
 
 
@@ -40,8 +40,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(entry): int(rank) for entry, rank in (x.split() for x in lines if x.strip())}
 
 
+_MAPPED = {b: chr(BASE + b) for b in range(256)}
+
+
 def mapped(entry: bytes) -> str:
-    return "".join(chr(BASE + b) for b in entry)
+    return entry.decode("latin-1").translate(_MAPPED)
 
 
 def unmapped(piece: str) -> bytes:
@@ -92,25 +95,46 @@ class Coder:
         self.back = [back.get(i) for i in range(max(back) + 1)]
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of different pre-tokens, as little-endian 32-bit integers."""
+        """The ids of different pre-tokens, as little-endian 32-bit integers; sentencepiece is called once, as a call costs a hundred words."""
         raw = [w.encode() for w in words]
         whole = [self.ranks.get(r) for r in raw]
-        merged = iter(self.pieces.encode([mapped(r) for r, rank in zip(raw, whole, strict=True) if rank is None]))
+        merged = iter(self.pieces.encode([mapped(r) for r, rank in zip(raw, whole, strict=True) if rank is None], num_threads=1))
         return {w: self.ids[next(merged)].tobytes() if rank is None else struct.pack("<I", rank) for w, rank in zip(words, whole, strict=True)}
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a text, as little-endian 32-bit integers."""
-        out, found = [], (m[0] for m in self.pattern.finditer(text))
-        while part := list(itertools.islice(found, AT_ONCE)):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = self._encoded([w for w in set(part) if w not in self.known])
-            self.known |= {w: ids for w, ids in new.items() if len(w) <= SHORT}
-            out.append(b"".join([self.known.get(w) or new[w] for w in part]))
-        return b"".join(out)
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these pre-tokens; those of short ones are remembered."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = self._encoded([w for w in set(words) if w not in self.known])
+        self.known |= {w: ids for w, ids in new.items() if len(w) <= SHORT}
+        return [self.known.get(w) or new[w] for w in words]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+
+        def settle() -> None:
+            ids = self._ids([w for _, words in held for w in words])
+            at = 0
+            for i, words in held:
+                out[i].append(b"".join(ids[at : at + len(words)]))
+                at += len(words)
+            held.clear()
+
+        n = 0
+        for i, text in enumerate(texts):
+            found = (m[0] for m in self.pattern.finditer(text)) if len(text) > AT_ONCE or self.pattern.groups else iter(self.pattern.findall(text))
+            while words := list(itertools.islice(found, AT_ONCE)):
+                held.append((i, words))
+                if (n := n + len(words)) >= AT_ONCE:
+                    settle()
+                    n = 0
+        settle()
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.packed(text), "<u4")
+        return np.frombuffer(self.packed([text])[0], "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes | None:
         """The bytes; nothing if an id is none of the vocabulary."""
@@ -144,8 +168,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """(doc, ids): each row of ``docs`` without its text, as a struct, and the token ids of the whole text.
 
     Null and empty texts have no ids. Repeated rows are encoded each by itself; no rows give no rows. Special tokens' strings are
-    ordinary text. Other columns are handed on, whatever their names. Memory holds the ids of one text at a time beside a bounded
-    table of pre-tokens.
+    ordinary text. Other columns are handed on, whatever their names. Memory holds the ids of some texts of a
+    million characters together, or of one longer one, beside a bounded table of pre-tokens.
     """
     workers_find_us(docs.sparkSession)
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)) if len(docs.columns) > 1 else F.struct(F.lit(None).cast("string").alias("_"))
@@ -155,7 +179,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         c = coder(ranks_path, pattern)
         for big in batches:
             for b in _slices(big, pa.compute.utf8_length(big.column(1)).to_numpy(zero_copy_only=False)):
-                ids = _lists([c.encode(t.as_py()) for t in b.column(1)])
+                ids = _lists([np.frombuffer(x, "<u4") for x in c.packed(b.column(1).to_pylist())])
                 yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc", "ids"])
 
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>")
