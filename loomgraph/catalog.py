@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, scope
 from loomgraph.operators import graph as gr
-from loomgraph.operators import lint, walks
+from loomgraph.operators import lint, strong, walks
 from loomgraph.sources import derived
 from loomgraph.sources.notes import NO_FRONT
 
@@ -60,6 +60,10 @@ def supersession_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.id_cycles(derived.part_cycles(spark, sf_dir)).select(F.array_join("cycle", " -> ").alias("cycle"), F.size("cycle").cast("long").alias("n"))
 
 
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong.cycle_members(derived.part_rings(spark, sf_dir))
+
+
 def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _n(lint.findings(derived.order_chain(spark, sf_dir, ties=True)), "severity", "kind")
 
@@ -76,6 +80,16 @@ def current_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _n(walks.current(derived.order_chain(spark, sf_dir, ties=True)), "status", "conflict")
 
 
+def overtaken_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.rival_orders(spark, sf_dir)
+    live = walks.candidates(g).where("live").select("dst_path", "c", "c_scope")
+    return walks.overtaken(g, live).select(F.col("dst_path").alias("predecessor"), F.col("c").alias("candidate"))
+
+
+def current_overtaken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.current(derived.rival_orders(spark, sf_dir)).select("seed", "status", "conflict", "active_guidance_id", "hops")
+
+
 def current_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.current(derived.opinions(spark, sf_dir)).select("seed", "status", "conflict")
 
@@ -147,7 +161,7 @@ def key_path():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, competing_successors, contradictions, supersession_cycles, lint_summary, current_all_seeds, current_scoped, current_conflicts, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, competing_successors, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
 
 _CHAIN = """
 o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -163,6 +177,13 @@ _STEP = """
 hit as (select 'order-' || k as src, 'order-' || before as dst from chain where before is not null and st = 'O'),
 miss as (select distinct 'order-' || before as dst from chain where before is not null and st <> 'O'),
 walk(seed, here, hops) as (select id, id, 0 from chain union all select seed, src, hops + 1 from walk join hit on here = dst)"""
+_RIVALS = """
+o as (select o_orderkey as k, o_custkey as c, o_orderpriority as pr, o_orderdate as day, year(o_orderdate) as y from orders),
+placed as (select *, lag(k) over w as prev, lead(k) over w as nxt, row_number() over w as i, row_number() over w - row_number() over (partition by c, y, pr order by day, k) as run from o window w as (partition by c, y order by day, k)),
+tied as (select p.*, b.before from placed p left join (select c, y, max_by(before, day) as before from (select distinct a.c, a.y, b.k as before, (b.day, b.k) as day from o a join o b on a.c = b.c and b.y < a.y) group by c, y) b on p.c = b.c and p.y = b.y),
+cand as (select k, before, pr, c, y, run, i from tied where before is not null and k % 3 <> 0),
+live as (select * from cand where not exists (select 1 from cand later where later.before = cand.k and later.pr = cand.pr)),
+lost as (select distinct a.before, a.k from live a join live b on a.c = b.c and a.y = b.y and a.pr = b.pr and a.run = b.run and b.i > a.i)"""
 _FK = """
 fk as (select 'nation-' || n_nationkey as src, 'region-' || n_regionkey as dst from nation
   union all select 'customer-' || c_custkey, 'nation-' || c_nationkey from customer union all select 'supplier-' || s_suppkey, 'nation-' || s_nationkey from supplier
@@ -191,6 +212,17 @@ reach(s, d) as (select s, d from e union select reach.s, e.d from reach join e o
 cyc as (select s as k from reach where s = d), grp as (select k, min('part-' || d) as low, count(*) as n from cyc join reach on s = k and d in (select k from cyc) group by k),
 walk(low, here, i) as (select distinct low, cast(replace(low, 'part-', '') as bigint), 0 from grp union all select low, d, i + 1 from walk join e on here = s where 'part-' || d <> low)
 select string_agg('part-' || here, ' -> ' order by i) as cycle, count(*) as n from walk group by low""",
+    "cycle_members": """
+with recursive p as (select p_partkey - min(p_partkey) over () as k, max(p_partkey) over () - min(p_partkey) over () as n from part),
+e as (
+  select k, case when k + 3 <= n then k + 3 else 0 end as d, 0 as g from p where k % 3 = 0
+  union all select k, k // 3 * 7 % (n // 3 + 1) * 3, 0 from p where k % 3 = 0
+  union all select k, case when (k + 3) // 21 = k // 21 and k + 3 <= n then k + 3 else k // 21 * 21 + 2 end, k // 21 + 1 from p where k % 3 = 2),
+m as (select distinct g, 'part-' || k as node from e), low as (select g, min(node) as component, count(*) as n from m group by g),
+f as (select g, 'part-' || k as s, min('part-' || d) as d from e where d <> k group by g, k),
+walk(g, node, i, n) as (select g, component, 0, n from low union all select walk.g, f.d, i + 1, n from walk join f on f.g = walk.g and f.s = walk.node where i < n),
+place as (select g, node, min(i) as i from walk group by g, node)
+select component, row_number() over (partition by g order by i nulls last, node) - 1 as pos, node from m join low using (g) left join place using (g, node)""",
     "lint_summary": f"""with {_TIES} select 'error' as severity, 'scope_mismatch' as kind, count(*) as n from edge where not (st = dst_st and pr = dst_pr) having count(*) > 0
   union all select 'error', 'conflicting_assertion', count(*) from pair having count(*) > 0""",
     "current_all_seeds": f"with {_CHAIN} select id as seed, case when after is null then 'current' else 'superseded' end as status, 'order-' || tip as active_guidance_id, len - 1 - pos as hops from chain",
@@ -203,6 +235,19 @@ step as (select dst, case when n = 1 then any_src when n_live = 1 then live_src
 walk(seed, here, hops) as (select k, k, 0 from o union all select seed, nxt, hops + 1 from walk join step on here = dst where nxt is not null)
 select case when conflict is not null then 'unresolved_conflict' when hops > 0 then 'superseded' else 'current' end as status, conflict, count(*) as n
 from (select seed, max_by(here, hops) as here, max(hops) as hops from walk group by seed) left join step on dst = here group by all""",
+    "overtaken_candidates": f"with {_RIVALS} select 'order-' || before as predecessor, 'order-' || k as candidate from lost",
+    "current_overtaken": f"""with recursive {_RIVALS},
+step as (
+  select 'order-' || k as place, 'change-' || nxt as nxt, cast(null as varchar) as conflict from placed where nxt is not null
+  union all select 'change-' || k, 'order-' || k, null from placed where prev is not null
+  union all select 'order-' || before, case when n = 1 then 'order-' || any_k when n_left = 1 then 'order-' || left_k end,
+    case when n = 1 or n_left = 1 then null when n_left > 1 or n_live > 0 then 'competing_successors' else 'superseded_without_active_successor' end
+  from (select cand.before, count(*) as n, count(live.k) as n_live, count(live.k) filter (lost.k is null) as n_left, min(cand.k) as any_k, min(live.k) filter (lost.k is null) as left_k
+    from cand left join live on live.k = cand.k left join lost on lost.k = cand.k group by cand.before)),
+seed as (select 'order-' || k as id from o union all select 'change-' || k from placed where prev is not null),
+walk(seed, here, hops) as (select id, id, 0 from seed union all select seed, nxt, hops + 1 from walk join step on here = place where nxt is not null)
+select seed, case when conflict is not null then 'unresolved_conflict' when hops > 0 then 'superseded' else 'current' end as status, conflict, case when conflict is null then here end as active_guidance_id, cast(hops as bigint) as hops
+from (select seed, max_by(here, hops) as here, max(hops) as hops from walk group by seed) left join step on place = here and nxt is null""",
     "current_contradictions": f"""with {_OPINION}, hit as (select a as k from con where b % 7 <> 0 union select b from con where a % 7 <> 0)
 select 'doc-' || doc_id as seed, case when k is null then 'current' else 'unresolved_conflict' end as status, case when k is not null then 'contradiction' end as conflict from d left join hit on k = doc_id""",
     "current_advisories": f"with {_CHAIN} select 'order-' || before as id, 'A successor exists in another scope: ''' || id || ''' (scope: [priority=' || pr || ', status=' || st || '])' as advisory from chain where before is not null and st <> 'O'",

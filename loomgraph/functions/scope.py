@@ -21,6 +21,11 @@ def covers(wide: Column, narrow: Column) -> Column:
     return F.forall(F.map_keys(wide), lambda k: F.coalesce(narrow[k] == wide[k], F.lit(False)))
 
 
+def signature(scope: Column) -> Column:
+    """A text that is equal for equal scopes; maps themselves can't be grouped or joined."""
+    return F.to_json(F.array_sort(F.map_entries(scope)))
+
+
 def text(scope: Column) -> Column:
     """``k=v, k=v``, by key."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(scope)), lambda e: F.concat(e.key, F.lit("="), e.value)), ", ")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scope
 from loomgraph.operators.graph import Graph
-from loomgraph.session import saved, workers_find_us
+from loomgraph.operators.strong import cycle_members, id_edges
 
 
 def _finding(df: DataFrame, kind: str, message: Column, source: Column, target: Column | None, cycle: Column | None = None) -> DataFrame:
@@ -72,11 +71,11 @@ def malformed_files(g: Graph) -> DataFrame | None:
 
 
 def ordered_cycle(members: set[str], after: dict[str, list[str]], start: str) -> list[str]:
-    """Members from ``start`` along edges inside the cycle, the smallest next one first; those not reached come sorted at the end."""
-    out, at = [start], start
-    while nxt := [x for x in sorted(after.get(at, ())) if x in members and x not in out]:
-        at = nxt[0]
+    """Members from ``start`` on, each followed by its smallest next one inside the cycle until one comes again; the others come sorted at the end."""
+    out, at = [], start
+    while at not in out:
         out.append(at)
+        at = min((x for x in after.get(at, ()) if x in members and x != at), default=at)
     return out + sorted(members - set(out))
 
 
@@ -125,56 +124,15 @@ def strong_components(edges: list[tuple[str, str]]) -> list[set[str]]:
     return out
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """edges(s, d) without all that can't lie on a cycle: nodes without a way in or a way out go, round by round."""
-    edges = saved(edges.select("s", "d").distinct())
-    n = edges.count()
-    while n:
-        ends = edges.select(F.col("s").alias("d")).distinct()
-        starts = edges.select(F.col("d").alias("s")).distinct()
-        edges = saved(edges.join(ends, "d", "left_semi").join(starts, "s", "left_semi").select("s", "d"))
-        n, before = edges.count(), n
-        if n == before:
-            break
-    return edges
-
-
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component) by the smallest label, with labels jumping over labels."""
-    both = saved(edges.select("s", "d").union(edges.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct())
-    labels = saved(both.groupBy(F.col("s").alias("node")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("d"), "component"), "d").groupBy(F.col("s").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = saved(step.join(jump, "component").select("node", F.col("up").alias("component")))
-        if new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        labels = new
-
-
 def supersession_cycles(g: Graph) -> DataFrame:
-    """(cycle): ids of each group of notes that supersede each other in a circle, from the smallest id on.
-
-    Only the core that is left after cutting off loose ends is grouped, by weak component.
-    """
-    return id_cycles(g.of("supersedes").select(F.col("src_id").alias("s"), F.col("dst_id").alias("d")))
+    """(cycle): ids of each group of notes that supersede each other in a circle, from the smallest id on."""
+    return id_cycles(id_edges(g))
 
 
 def id_cycles(edges: DataFrame) -> DataFrame:
-    workers_find_us(edges.sparkSession)
-    core = cyclic_core(edges)
-    labelled = core.join(weak_components(core), core.s == F.col("node")).select("s", "d", "component")
-
-    def cycles(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(pdf["s"], pdf["d"], strict=True))
-        after: dict[str, list[str]] = {}
-        for a, b in pairs:
-            after.setdefault(a, []).append(b)
-        found = [c for c in strong_components(pairs) if len(c) > 1 or any(x in after.get(x, ()) for x in c)]
-        return pd.DataFrame({"cycle": [ordered_cycle(c, after, min(c)) for c in found]}, columns=["cycle"])
-
-    return labelled.groupBy("component").applyInPandas(cycles, "cycle array<string>")
+    """(cycle): the members of each component of edges(s, d) in order, as one value; ``cycle_members`` has them as rows."""
+    members = cycle_members(edges).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("m"))
+    return members.select(F.transform("m", lambda x: x.node).alias("cycle"))
 
 
 def cycle_findings(g: Graph) -> DataFrame:

@@ -7,13 +7,13 @@ chain, whatever the number of seeds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scope as sc
 from loomgraph.operators.graph import Graph
-from loomgraph.operators.lint import supersession_cycles
-from loomgraph.session import saved
+from loomgraph.operators.strong import id_edges, strong_components
+from loomgraph.session import Growing, saved
 
 
 def matching(g: Graph, scope: dict[str, str]) -> DataFrame:
@@ -21,22 +21,46 @@ def matching(g: Graph, scope: dict[str, str]) -> DataFrame:
     return g.of("supersedes").withColumn("hit", sc.overlaps(sc.literal(scope), F.col("eff_scope")))
 
 
-def _overtaken(g: Graph, candidates: DataFrame) -> DataFrame:
-    """(dst_path, c): candidates that another active candidate of the same note supersedes, directly or over others.
+def overtaken(g: Graph, rivals: DataFrame) -> DataFrame:
+    """(dst_path, c): candidates that another candidate of the same note supersedes, directly or over others.
 
-    ``candidates`` is (dst_path, c, c_scope). Each edge's scope must overlap the candidate's and that of the edge before.
+    ``rivals`` is (dst_path, c, c_scope). Each edge's scope must overlap the candidate's and that of the edge before. The search goes
+    back from each candidate over states (candidate, scope, edge): what may come before an edge depends on that edge alone, so each state
+    counts once, however many ways lead to it, and notes with many candidates cost their edges, not their pairs. A walk may meet a
+    note again. It ends for a candidate that is overtaken at all its notes.
     """
-    other = candidates.select("dst_path", F.col("c").alias("x"))
-    pairs = candidates.join(other, "dst_path").where("c <> x")
-    edges = saved(g.of("supersedes").select(F.col("src_path").alias("s"), F.col("dst_path").alias("d"), F.col("eff_scope").alias("e")))
-    front = saved(pairs.select("dst_path", "c", "c_scope", F.col("x").alias("at"), F.lit(None).cast("map<string,string>").alias("last"), F.array(F.col("x")).alias("seen")))
-    found = front.where("false").select("dst_path", "c")
-    while not front.isEmpty():
-        nxt = front.join(edges, front["at"] == edges["s"]).where(sc.overlaps(F.col("e"), F.col("c_scope")) & F.coalesce(sc.overlaps(F.col("e"), F.col("last")), F.lit(True)) & ~F.array_contains("seen", F.col("d")))
-        nxt = saved(nxt.select("dst_path", "c", "c_scope", F.col("d").alias("at"), F.col("e").alias("last"), F.array_append("seen", F.col("d")).alias("seen")))
-        found = saved(found.union(nxt.where("at = c").select("dst_path", "c")).distinct())
-        front = nxt.join(found, ["dst_path", "c"], "left_anti")
-    return found
+    edges = saved(g.of("supersedes").select(F.monotonically_increasing_id().alias("edge"), F.col("src_path").alias("s"), F.col("dst_path").alias("d"), F.col("eff_scope").alias("e")))
+    rivals = saved(rivals.withColumn("sig", sc.signature(F.col("c_scope"))))
+    goals = rivals.select("c", "sig", "c_scope").dropDuplicates(["c", "sig"])
+    state = ["c", "sig", "c_scope", "edge", "at", "e"]
+    meets = lambda *more: [sc.overlaps(F.col("e"), F.col("c_scope")), *more]
+
+    def wanted(rows: DataFrame, *more: Column) -> DataFrame:
+        for m in meets(*more):
+            rows = rows.where(m)
+        return rows.select("c", "sig", "c_scope", "edge", F.col("s").alias("at"), "e").where("at <> c").dropDuplicates(["c", "sig", "edge"])
+
+    front = wanted(goals.join(edges, F.col("c") == F.col("d")))
+    seen = Growing(front.select(*state))
+    rival = rivals.select("dst_path", F.col("c").alias("at"))
+
+    def reached(front: DataFrame) -> DataFrame:
+        return rivals.select("dst_path", "c", "sig").join(front.select("c", "sig", "at"), ["c", "sig"]).join(rival, ["dst_path", "at"], "left_semi").select("dst_path", "c", "sig").distinct()
+
+    found = Growing(reached(seen.last()))
+    while not seen.last().isEmpty():
+        unfound = rivals.join(found.all(), ["dst_path", "c", "sig"], "left_anti").select("c", "sig").distinct()
+        front = seen.last().join(unfound, ["c", "sig"], "left_semi").select("c", "sig", "c_scope", "at", F.col("e").alias("after"))
+        nxt = wanted(front.join(edges, F.col("at") == F.col("d")).drop("at"), sc.overlaps(F.col("e"), F.col("after")))
+        found.add(reached(seen.add(nxt.join(seen.all().select("c", "sig", "edge"), ["c", "sig", "edge"], "left_anti"))).join(found.all(), ["dst_path", "c", "sig"], "left_anti"))
+    return found.all().select("dst_path", "c").distinct()
+
+
+def candidates(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
+    """(dst_path, c, src_id, c_scope, live): the successors of each note in scope, and whether they are active."""
+    hits = matching(g, scope or {}).where("hit").select("dst_path", F.col("src_path").alias("c"), "src_id", F.col("eff_scope").alias("c_scope"))
+    live = g.active.select(F.col("path").alias("c"), F.lit(True).alias("live"))
+    return saved(hits.join(live, "c", "left").withColumn("live", F.coalesce("live", F.lit(False))))
 
 
 def steps(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
@@ -44,17 +68,15 @@ def steps(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
 
     kind: next, competing_successors, supersession_cycle or superseded_without_active_successor.
     """
-    hits = matching(g, scope or {}).where("hit").select("dst_path", F.col("src_path").alias("c"), "src_id", F.col("eff_scope").alias("c_scope"))
-    live = g.active.select(F.col("path").alias("c"), F.lit(True).alias("live"))
-    hits = saved(hits.join(live, "c", "left").withColumn("live", F.coalesce("live", F.lit(False))))
+    hits = candidates(g, scope)
     count = hits.groupBy("dst_path").agg(F.count("*").alias("n"), F.count_if("live").alias("n_live"), F.min("c").alias("only"), F.array_sort(F.collect_list("src_id")).alias("all_ids"), F.array_sort(F.collect_list(F.when(F.col("live"), F.col("src_id")))).alias("live_ids"))
     many = count.where("n > 1").select("dst_path")
     if many.isEmpty():
         return count.select(F.col("dst_path").alias("path"), F.lit("next").alias("kind"), F.col("only").alias("next_path"), F.array().cast("array<string>").alias("candidates"))
     rivals = hits.where("live").join(many, "dst_path", "left_semi")
-    lost = _overtaken(g, rivals.select("dst_path", "c", "c_scope").dropDuplicates(["dst_path", "c"]))
+    lost = overtaken(g, rivals.select("dst_path", "c", "c_scope").dropDuplicates(["dst_path", "c"]))
     left = rivals.join(lost, ["dst_path", "c"], "left_anti").groupBy("dst_path").agg(F.count("*").alias("n_left"), F.min("c").alias("one"), F.array_sort(F.collect_list("src_id")).alias("left_ids"))
-    cyclic = supersession_cycles(g).select(F.explode("cycle").alias("src_id")).distinct()
+    cyclic = strong_components(id_edges(g)).select(F.col("node").alias("src_id"))
     turning = hits.join(cyclic, "src_id", "left_semi").select("dst_path").distinct().withColumn("turns", F.lit(True))
     t = count.join(left, "dst_path", "left").join(turning, "dst_path", "left")
     n_left = F.coalesce("n_left", F.lit(0))

@@ -43,6 +43,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table that gets rows round by round; each round is written once and the whole is read as one scan."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.spark, self.schema, self.rounds = first.sparkSession, first.schema, []
+        self.path = f"{scratch(self.spark)}/{uuid.uuid4().hex}"
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        self.rounds.append(f"{self.path}/{len(self.rounds)}")
+        rows.select(*self.schema.names).write.option("compression", "zstd").parquet(self.rounds[-1])
+        return self.last()
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.rounds[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.rounds)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables; results that are still to be computed from them are lost."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))

@@ -64,6 +64,34 @@ def part_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(key("part-", "k").alias("s"), key("part-", "to").alias("d"))
 
 
+def part_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges(s, d) over parts, counted from 0: every third is in one ring with chords, the next third a long tail into it, the rest rings of
+    seven, each leading to the next."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    p = p.crossJoin(F.broadcast(p.agg(F.min("k").alias("low"), F.max("k").alias("n")))).select((F.col("k") - F.col("low")).alias("k"), (F.col("n") - F.col("low")).alias("n"))
+    k, n = F.col("k"), F.col("n")
+    first = F.floor(k / 21) * 21 + 2
+    ring = F.array(F.when(k + 3 <= n, k + 3).otherwise(0), F.floor(k / 3) * 7 % (F.floor(n / 3) + 1) * 3)
+    tail = F.array(F.when(k + 3 <= n, k + 3).otherwise(0))
+    small = F.array(F.when((F.floor((k + 3) / 21) * 21 + 2 == first) & (k + 3 <= n), k + 3).otherwise(first), F.when((k == first) & (k + 21 <= n), k + 21))
+    e = p.select("k", F.explode(F.when(k % 3 == 0, ring).when(k % 3 == 1, tail).otherwise(small)).alias("to")).where("to is not null")
+    return e.select(key("part-", "k").alias("s"), key("part-", "to").alias("d"))
+
+
+def rival_orders(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders of one year (but every third) all replace the customer's last order of the years before; within a year each also replaces a
+    change of the order before it, which replaces that order. A change's scope is another than an order's, so it inactivates none."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("pr"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.year("o_orderdate").alias("y"))
+    past = Window.partitionBy("c").orderBy("y").rangeBetween(Window.unboundedPreceding, -1)
+    o = o.withColumns({"before": F.max(F.struct("day", "k")).over(past).k, "prev": F.lag("k").over(Window.partitionBy("c", "y").orderBy("day", "k"))})
+    same, change = F.create_map(F.lit("priority"), F.col("pr")), F.create_map(F.lit("channel"), F.lit("change"), F.lit("priority"), F.col("pr"))
+    some = lambda *r: F.filter(F.array(*r), lambda x: x.isNotNull())
+    own = some(F.when(F.col("before").isNotNull() & (F.col("k") % 3 != 0), relation("supersedes", key("order-", "before"), None, same)), F.when(F.col("prev").isNotNull(), relation("supersedes", key("change-", "k"), None, same)))
+    orders = notes(o, id=key("order-", "k"), valid_from=F.col("day"), scope=F.create_map(F.lit("channel"), F.lit("book"), F.lit("priority"), F.col("pr")), relations=own)
+    changes = notes(o.where("prev is not null"), id=key("change-", "k"), valid_from=F.col("day"), scope=change, relations=F.array(relation("supersedes", key("order-", "prev"), None, change)))
+    return Graph(orders.unionByName(changes))
+
+
 def opinions(spark: SparkSession, sf_dir: str) -> Graph:
     """Labelled documents in the order of their ids within a language and source; a good one contradicts a toxic one after it."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
