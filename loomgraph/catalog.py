@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, scope
 from loomgraph.operators import graph as gr
-from loomgraph.operators import lint, strong, walks
+from loomgraph.operators import asof, lint, strong, walks
 from loomgraph.sources import derived
 from loomgraph.sources.notes import NO_FRONT
 
@@ -52,6 +52,14 @@ def competing_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.competing_pairs(derived.order_chain(spark, sf_dir, ties=True))
 
 
+def competing_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.competing_pairs(derived.rival_orders(spark, sf_dir))
+
+
+def competing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.competing_classes(derived.line_hubs(spark, sf_dir)).drop("path")
+
+
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.contradiction_pairs(derived.opinions(spark, sf_dir))
 
@@ -110,6 +118,10 @@ def historical_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.historical(derived.order_chain(spark, sf_dir), AS_OF)
 
 
+def historical_for_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.historical_for(derived.order_terms(spark, sf_dir), derived.order_questions(spark, sf_dir))
+
+
 def historical_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _n(historical_as_of(spark, sf_dir), "status")
 
@@ -161,7 +173,7 @@ def key_path():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, competing_successors, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
 
 _CHAIN = """
 o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -205,6 +217,22 @@ SQL = {
     "broken_targets": """select 'doc-' || doc_id as source, 'doc-' || (2 * doc_id + 1) as target,
   'Node ''doc-' || doc_id || ''' has relation ''depends_on'' targeting ''doc-' || (2 * doc_id + 1) || ''' which does not resolve to any note in the vault' as message from documents where 2 * doc_id + 1 not in (select doc_id from documents)""",
     "competing_successors": f"with {_TIES} select 'order-' || dst as predecessor, least('order-' || s1, 'order-' || s2) as source, greatest('order-' || s1, 'order-' || s2) as target from pair",
+    "competing_rivals": f"""with {_RIVALS}
+select 'order-' || a.before as predecessor, least('order-' || a.k, 'order-' || b.k) as source, greatest('order-' || a.k, 'order-' || b.k) as target from live a join live b on a.before = b.before and a.k < b.k and a.pr = b.pr""",
+    "competing_classes": """
+with line as (select l_orderkey as k, l_linenumber as no, min(l_partkey) as p, min(l_returnflag) as flag, min(l_linestatus) as st from lineitem group by all),
+named as (
+  select *, 'line-' || k || '-' || no as id, case when k % 3 <> 1 then flag end as f, case when k % 3 <> 0 then st end as s, case when k % 10 = 0 then lead('line-' || k || '-' || no) over (partition by p order by k, no) end as nxt from line),
+signed as (select *, '[' || concat_ws(',', '{"key":"flag","value":"' || f || '"}', '{"key":"status","value":"' || s || '"}') || ']' as sig from named),
+succ as (select 'part-' || p as predecessor, id, sig, f, s from signed union all select 'hub', id, sig, f, s from signed where k % 2 = 0),
+cls as (select predecessor, sig, f, s, count(*) as n from succ group by all),
+settled as (
+  select a.predecessor, least(a.sig, b.sig) as a, greatest(a.sig, b.sig) as b, count(*) as n
+  from signed x join succ a on a.id = x.id join succ b on b.id = x.nxt and b.predecessor = a.predecessor group by all),
+met as (
+  select a.predecessor, a.sig as a, b.sig as b, a.n as n_a, b.n as n_b, case when a.sig = b.sig then a.n * (a.n - 1) // 2 else a.n * b.n end as n_pairs
+  from cls a join cls b on a.predecessor = b.predecessor and a.sig <= b.sig and coalesce(a.f = b.f, true) and coalesce(a.s = b.s, true))
+select met.*, coalesce(settled.n, 0) as n_settled from met left join settled using (predecessor, a, b) where n_pairs > coalesce(settled.n, 0)""",
     "contradictions": f"with {_OPINION} select 'doc-' || a as source, 'doc-' || b as target from con where a % 7 <> 0 and b % 7 <> 0",
     "supersession_cycles": """
 with recursive n as (select count(*) as n from part), e as (select p_partkey as s, (p_partkey * p_partkey + 1) % n as d from part, n),
@@ -255,6 +283,19 @@ select 'doc-' || doc_id as seed, case when k is null then 'current' else 'unreso
     "lineage_evidence": f"with {_CHAIN} select id, case when before is not null then 'clerk-' || c end as adopted_evidence, case when after is not null then 'clerk-' || c end as superseding_evidence from chain",
     "historical_as_of": f"""with {_CHAIN}, nxt as (select *, lead(day) over (partition by c order by pos) as until from chain)
 select 'order-' || root as root, case when min(day) > '{AS_OF}' then 'not_yet_valid' else 'active' end as status, max(case when day <= '{AS_OF}' and (until is null or '{AS_OF}' < until) then id end) as active_guidance_id from nxt group by root""",
+    "historical_for_dates": f"""with {_CHAIN},
+note as (select c, pos, id, k, case when k % 23 <> 0 then day end as first, case when k % 3 = 0 then strftime(strptime(day, '%Y-%m-%d') + interval 60 day, '%Y-%m-%d') end as until from chain),
+term as (select *, lead(first) over (partition by c order by pos) as after from note),
+ask as (select event_id, 'order-' || event_id * 7 % (n + 5) as seed, case when event_id % 97 = 0 then '1998-6-1' when event_id % 89 <> 0 then strftime(cast(ts as date) - cast(event_id * 13 % 2900 + 7900 as integer), '%Y-%m-%d') end as as_of from events, (select count(*) as n from orders)),
+told as (select event_id, seed, as_of, own.c from ask left join term own on own.id = seed),
+seen as (
+  select event_id, min(first) as early, min_by(coalesce(first, ''), pos) as root_first, bool_or(first is null) as vague, count(*) filter (first <= as_of and until < as_of) as gone,
+    list(id) filter (first <= as_of and (after is null or as_of < after) and (until is null or as_of <= until)) as live
+  from told join term on term.c = told.c group by event_id)
+select event_id, seed, as_of, case when as_of is null then 'MissingAsOf' when as_of = '1998-6-1' then 'InvalidDateFormat' when c is null then 'SeedNotFound' when early is null or (as_of < early and root_first = '') then 'indeterminate' when as_of < early then 'not_yet_valid'
+  when len(live) > 1 then 'UnresolvedConflict' when len(live) = 1 then 'active' when gone > 0 then 'expired' when vague then 'indeterminate' else 'no_active_guidance' end as status,
+  case when c is not null and as_of is not null and as_of <> '1998-6-1' and not (as_of < early) and len(live) = 1 then live[1] end as active_guidance_id
+from told left join seen using (event_id)""",
     "historical_status_counts": f"with {_CHAIN} select status, count(*) as n from (select root, case when min(day) > '{AS_OF}' then 'not_yet_valid' else 'active' end as status from chain group by root) group by status",
     "impact_from_region": f"with recursive {_FK} select node, cast(depth as bigint) as depth, trail from walk where depth > 0",
     "impact_depth_histogram": f"with recursive {_FK} select cast(depth as bigint) as depth, count(*) as n from walk where depth > 0 group by depth",

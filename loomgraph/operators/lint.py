@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scope
 from loomgraph.operators.graph import Graph
 from loomgraph.operators.strong import cycle_members, id_edges
+from loomgraph.session import saved
 
 
 def _finding(df: DataFrame, kind: str, message: Column, source: Column, target: Column | None, cycle: Column | None = None) -> DataFrame:
@@ -39,14 +40,67 @@ def contradiction_pairs(g: Graph) -> DataFrame:
     return first.where(scope.overlaps(F.col("eff_scope"), F.col("dst_scope"))).select(F.col("src_id").alias("source"), F.col("dst_id").alias("target"))
 
 
-def competing_pairs(g: Graph) -> DataFrame:
-    """(predecessor, source, target): active successors of one note in overlapping scopes, neither over the other directly."""
+def successor_members(g: Graph) -> DataFrame:
+    """(dst_path, predecessor, sig, scope, path, ord, id): active successors of each note, each under the signature of its scope."""
     up = g.of("supersedes").join(g.active.withColumnRenamed("path", "src_path"), "src_path", "left_semi")
-    side = lambda n: up.select("dst_path", F.col("dst_id").alias(f"pred{n}"), F.col("src_path").alias(f"path{n}"), F.col("ord").alias(f"ord{n}"), F.col("src_id").alias(f"id{n}"), F.col("eff_scope").alias(f"scope{n}"))
-    both = side(1).join(side(2), "dst_path").where("path1 < path2 or (path1 = path2 and ord1 < ord2)").where(scope.overlaps(F.col("scope1"), F.col("scope2")))
-    direct = g.of("supersedes").select(F.col("src_path").alias("s"), F.col("dst_path").alias("d")).distinct()
-    both = both.join(direct, (F.col("path1") == F.col("s")) & (F.col("path2") == F.col("d")), "left_anti").join(direct, (F.col("path2") == F.col("s")) & (F.col("path1") == F.col("d")), "left_anti")
-    pairs = both.select("dst_path", F.col("pred1").alias("predecessor"), F.least("id1", "id2").alias("source"), F.greatest("id1", "id2").alias("target"))
+    return saved(up.select("dst_path", F.col("dst_id").alias("predecessor"), scope.signature(F.col("eff_scope")).alias("sig"), F.col("eff_scope").alias("scope"), F.col("src_path").alias("path"), "ord", F.col("src_id").alias("id")))
+
+
+def _meeting(members: DataFrame) -> DataFrame:
+    """(dst_path, a, b, n_a, n_b): signatures under one note whose scopes overlap, a <= b, each with its members' number; a = b from two members on.
+
+    Scopes with the same keys overlap only if they are equal. Scopes with other keys overlap if they agree in the keys that both
+    have, so they are joined by those keys' values: what doesn't overlap never meets.
+    """
+    own = saved(members.groupBy("dst_path", "sig").agg(F.first("scope").alias("scope"), F.count("*").alias("n")).withColumn("shape", F.array_sort(F.map_keys("scope"))))
+    shapes = own.select("dst_path", "shape").distinct()
+    both = shapes.withColumnRenamed("shape", "s").join(shapes.withColumnRenamed("shape", "t"), "dst_path").where("s < t")
+
+    def side(name: str, shape: str) -> DataFrame:
+        common = F.transform(F.array_intersect("s", "t"), lambda k: F.element_at("scope", k))
+        return own.join(both.withColumn("shape", F.col(shape)), ["dst_path", "shape"]).select("dst_path", "s", "t", F.to_json(common).alias("common"), F.col("sig").alias(name), F.col("n").alias(f"n_{name}"))
+
+    other = side("a", "s").join(side("b", "t"), ["dst_path", "s", "t", "common"])
+    pick = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    other = other.select("dst_path", pick("a", "b"), pick("b", "a"), pick("n_a", "n_b"), pick("n_b", "n_a")).toDF("dst_path", "a", "b", "n_a", "n_b")
+    return saved(other.union(own.where("n > 1").select("dst_path", "sig", "sig", "n", "n")))
+
+
+def _settled(g: Graph, members: DataFrame) -> DataFrame:
+    """(dst_path, a, a_path, a_ord, b, b_path, b_ord): pairs of successors of one note of which one supersedes the other directly."""
+    direct = g.of("supersedes").select(F.least("src_path", "dst_path").alias("a_path"), F.greatest("src_path", "dst_path").alias("b_path")).distinct()
+    side = lambda n: members.select("dst_path", F.col("sig").alias(n), F.col("path").alias(f"{n}_path"), F.col("ord").alias(f"{n}_ord"))
+    return direct.join(side("a"), "a_path").join(side("b"), ["dst_path", "b_path"]).where("a_path < b_path or a_ord < b_ord").select("dst_path", "a", "a_path", "a_ord", "b", "b_path", "b_ord")
+
+
+def competing_classes(g: Graph) -> DataFrame:
+    """(predecessor, path, a, b, n_a, n_b, n_pairs, n_settled): active successors of one note, by classes of equal scope, that compete.
+
+    ``n_pairs`` pairs of members have overlapping scopes, of which ``n_settled`` don't compete as one supersedes the other directly.
+    Members are in ``successor_members``. A note with any number of successors costs its successors and its pairs of scopes.
+    """
+    members = successor_members(g)
+    met = _meeting(members)
+    settled = _settled(g, members).groupBy("dst_path", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n_settled"))
+    n_pairs = F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    names = members.select("dst_path", "predecessor").distinct()
+    out = met.join(settled, ["dst_path", "a", "b"], "left").join(names, "dst_path").select("predecessor", F.col("dst_path").alias("path"), "a", "b", "n_a", "n_b", n_pairs.alias("n_pairs"), F.coalesce("n_settled", F.lit(0).cast("long")).alias("n_settled"))
+    return out.where("n_pairs > n_settled")
+
+
+def competing_pairs(g: Graph) -> DataFrame:
+    """(predecessor, source, target): active successors of one note in overlapping scopes, neither over the other directly.
+
+    One row a pair: of a note with many successors, ``competing_classes`` tells the same by classes.
+    """
+    members = successor_members(g)
+    side = lambda n: members.select("dst_path", "predecessor", F.col("sig").alias(n), F.col("path").alias(f"{n}_path"), F.col("ord").alias(f"{n}_ord"), F.col("id").alias(f"{n}_id"))
+    both = _meeting(members).select("dst_path", "a", "b").join(side("a"), ["dst_path", "a"]).join(side("b").drop("predecessor"), ["dst_path", "b"])
+    both = both.where("a <> b or a_path < b_path or (a_path = b_path and a_ord < b_ord)")
+    low = (F.col("a_path") < F.col("b_path")) | ((F.col("a_path") == F.col("b_path")) & (F.col("a_ord") < F.col("b_ord")))
+    pick = lambda c, first: F.when(low if first else ~low, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    both = both.select("dst_path", "predecessor", pick("path", True).alias("a_path"), pick("ord", True).alias("a_ord"), pick("path", False).alias("b_path"), pick("ord", False).alias("b_ord"), F.least("a_id", "b_id").alias("source"), F.greatest("a_id", "b_id").alias("target"))
+    pairs = both.join(_settled(g, members).drop("a", "b"), ["dst_path", "a_path", "a_ord", "b_path", "b_ord"], "left_anti")
     # reported once over all predecessors: the first by path
     return pairs.groupBy("source", "target").agg(F.min(F.struct("dst_path", "predecessor")).alias("p")).select(F.col("p.predecessor").alias("predecessor"), "source", "target")
 

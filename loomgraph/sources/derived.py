@@ -64,6 +64,23 @@ def part_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(key("part-", "k").alias("s"), key("part-", "to").alias("d"))
 
 
+def order_terms(spark: SparkSession, sf_dir: str) -> Graph:
+    """``order_chain`` with terms: every third order is valid for 60 days, every 23rd has no first day."""
+    g = order_chain(spark, sf_dir)
+    k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
+    until = F.when(k % 3 == 0, F.date_format(F.date_add(F.to_date("valid_from"), 60), "yyyy-MM-dd"))
+    return Graph(g.nodes.withColumn("valid_until", until).withColumn("valid_from", F.when(k % 23 != 0, F.col("valid_from"))))
+
+
+def order_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, seed, as_of): each event asks for an order on a day some decades before its own; few ask for none or on no day."""
+    e = read(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    e = e.crossJoin(F.broadcast(read(spark, sf_dir, "orders").agg(F.count("*").alias("n"))))
+    i = F.col("event_id")
+    as_of = F.date_format(F.date_sub("day", (i * 13 % 2900 + 7900).cast("int")), "yyyy-MM-dd")
+    return e.select("event_id", F.concat(F.lit("order-"), (i * 7 % (F.col("n") + 5)).cast("string")).alias("seed"), F.when(i % 97 == 0, "1998-6-1").when(i % 89 != 0, as_of).alias("as_of"))
+
+
 def part_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges(s, d) over parts, counted from 0: every third is in one ring with chords, the next third a long tail into it, the rest rings of
     seven, each leading to the next."""
@@ -92,6 +109,22 @@ def rival_orders(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(orders.unionByName(changes))
 
 
+def line_hubs(spark: SparkSession, sf_dir: str) -> Graph:
+    """Lines of orders replace their part, in the scope of their return flag, of their status or of both, by turns; lines of an even order
+    also replace the one hub. Some lines replace the part's next line, in a scope that inactivates none."""
+    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("st"))
+    w = Window.partitionBy("p").orderBy("l_orderkey", "l_linenumber")
+    name = F.concat(F.lit("line-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    line = line.withColumn("id", name).withColumn("next", F.when(F.col("l_orderkey") % 10 == 0, F.lead("id").over(w)))
+    flag, st = (F.lit("flag"), F.col("flag")), (F.lit("status"), F.col("st"))
+    own = F.when(F.col("l_orderkey") % 3 == 0, F.create_map(*flag)).when(F.col("l_orderkey") % 3 == 1, F.create_map(*st)).otherwise(F.create_map(*flag, *st))
+    kind = lambda x: F.create_map(F.lit("kind"), F.lit(x))
+    rel = F.filter(F.array(relation("supersedes", key("part-", "p"), None, own), F.when(F.col("l_orderkey") % 2 == 0, relation("supersedes", F.lit("hub"), None, own)), F.when(F.col("next").isNotNull(), relation("supersedes", F.col("next"), None, kind("other")))), lambda x: x.isNotNull())
+    lines = notes(line, id=F.col("id"), scope=kind("line"), relations=rel)
+    rest = line.select(key("part-", "p").alias("id")).distinct().union(spark.createDataFrame([("hub",)], "id string"))
+    return Graph(lines.unionByName(notes(rest, id=F.col("id"))))
+
+
 def opinions(spark: SparkSession, sf_dir: str) -> Graph:
     """Labelled documents in the order of their ids within a language and source; a good one contradicts a toxic one after it."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
