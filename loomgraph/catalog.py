@@ -48,6 +48,12 @@ def broken_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.broken_targets(derived.references(spark, sf_dir)).select("source", "target", "message")
 
 
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = derived.page_links(spark, sf_dir).resolved
+    page = F.regexp_extract("src_path", "p([0-9]+)[.]md$", 1).cast("long")
+    return r.select(page.alias("page_id"), F.col("ord").cast("long").alias("link"), F.col("target_raw").alias("target"), "dst_path", paths.relative(paths.directory(F.col("src_path")), F.col("dst_path")).alias("href"))
+
+
 def competing_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.competing_pairs(derived.order_chain(spark, sf_dir, ties=True))
 
@@ -173,7 +179,7 @@ def key_path():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
 
 _CHAIN = """
 o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -216,6 +222,15 @@ SQL = {
   from chain where before is not null and not (st = before_st and pr = before_pr)""",
     "broken_targets": """select 'doc-' || doc_id as source, 'doc-' || (2 * doc_id + 1) as target,
   'Node ''doc-' || doc_id || ''' has relation ''depends_on'' targeting ''doc-' || (2 * doc_id + 1) || ''' which does not resolve to any note in the vault' as message from documents where 2 * doc_id + 1 not in (select doc_id from documents)""",
+    "link_targets": r"""
+with p as (select page_id, 'x' || regexp_extract(url, '://[^/]+/([a-z]+)/', 1) as lang, regexp_extract_all(html, 'href="/([^"/\\\s]+)"', 1) as words from pages),
+l as (select page_id, lang, unnest(words) as w, generate_subscripts(words, 1) - 1 as i from p),
+f as (select *, (page_id + i) % 5 as form, length(w) % 6 as n from l),
+d as (
+  select page_id, i, lang, case form when 0 then w when 1 then './' || w when 2 then '../' || w when 3 then '/' || w || '.md' else '../../' || w end as target,
+    case when form = 0 and n in (0, 1) then 'notes/' || w || '.md' when form in (0, 1) and lang = 'xen' and n in (1, 2) then 'xen/' || w || '.md'
+      when form in (0, 2, 3) and n in (2, 3) then w || '.md' when form in (0, 2) and n = 4 then w || '.markdown' end as dst_path from f)
+select page_id, i as link, target, dst_path, case when starts_with(dst_path, lang || '/') then './' || substr(dst_path, length(lang) + 2) else '../' || dst_path end as href from d""",
     "competing_successors": f"with {_TIES} select 'order-' || dst as predecessor, least('order-' || s1, 'order-' || s2) as source, greatest('order-' || s1, 'order-' || s2) as target from pair",
     "competing_rivals": f"""with {_RIVALS}
 select 'order-' || a.before as predecessor, least('order-' || a.k, 'order-' || b.k) as source, greatest('order-' || a.k, 'order-' || b.k) as target from live a join live b on a.before = b.before and a.k < b.k and a.pr = b.pr""",

@@ -53,16 +53,18 @@ class Graph:
         """Relations with ``dst_path``, null where the target is no note.
 
         A target that begins with ``./`` or ``../`` counts from the source's folder only; others are an id, else a path from
-        the source's folder, else one from the root.
+        the source's folder, else one from the root. All that a target may mean is looked up in one join, whose larger side Spark splits
+        where many relations have one target; of what is found the least rank counts.
         """
         target = F.trim("target_raw")
         strict = target.startswith("./") | target.startswith("../")
-        r = self.relations.withColumns({"k_id": F.when(~strict, target), "k_near": paths.resolve(paths.directory(F.col("src_path")), target), "k_root": F.when(~strict, paths.normalize(target))})
-        by = lambda df, key, name: df.select(F.col(key).alias(f"_{name}"), F.col("path").alias(f"p_{name}"))
-        r = r.join(by(self.ids, "id", "id"), F.col("k_id") == F.col("_id"), "left")
-        r = r.join(by(self.path_keys, "key", "near"), F.col("k_near") == F.col("_near"), "left")
-        r = r.join(by(self.path_keys, "key", "root"), F.col("k_root") == F.col("_root"), "left")
-        return r.select(*self.relations.columns, F.coalesce("p_id", "p_near", "p_root").alias("dst_path"))
+        means = lambda rank, kind, key: F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(kind), key).alias("key"))
+        keys = F.array(means(0, "id:", F.when(~strict, target)), means(1, "path:", paths.resolve(paths.directory(F.col("src_path")), target)), means(2, "path:", F.when(~strict, paths.normalize(target))))
+        one = ["src_path", "ord", "target_raw"]
+        meant = self.relations.select(*one, F.explode(keys).alias("k")).where("k.key is not null").select(*one, "k.rank", "k.key")
+        known = self.ids.select(F.concat(F.lit("id:"), "id").alias("key"), "path").union(self.path_keys.select(F.concat(F.lit("path:"), "key").alias("key"), "path"))
+        best = meant.join(known, "key").groupBy(*one).agg(F.min(F.struct("rank", "path")).path.alias("dst_path"))
+        return self.relations.join(best, one, "left").select(*self.relations.columns, "dst_path")
 
     @cached_property
     def edges(self) -> DataFrame:

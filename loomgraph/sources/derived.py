@@ -125,6 +125,25 @@ def line_hubs(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(lines.unionByName(notes(rest, id=F.col("id"))))
 
 
+LINK = 'href="/([^"/\\\\\\s]+)"'
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> Graph:
+    """Pages in a folder for each language, with the links of their HTML as relations, written in five ways; and notes for the linked
+    words: by the word's length one that has it as id, one in the English folder, one in the root, by either extension, or none."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("x"), F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1)).alias("lang"), F.regexp_extract_all("html", F.lit(LINK), 1).alias("words"))
+
+    def link(w, i):
+        form = (F.col("page_id") + i) % 5
+        return relation("relates_to", F.when(form == 0, w).when(form == 1, F.concat(F.lit("./"), w)).when(form == 2, F.concat(F.lit("../"), w)).when(form == 3, F.concat(F.lit("/"), w, F.lit(".md"))).otherwise(F.concat(F.lit("../../"), w)))
+
+    page = notes(p, id=key("page-", "page_id"), path=F.concat("lang", F.lit("/p"), F.col("page_id").cast("string"), F.lit(".md")), relations=F.transform("words", link))
+    w = p.select(F.explode("words").alias("w")).distinct().withColumn("n", F.length("w") % 6)
+    place = lambda when, before, ident, after: F.when(F.col("n").isin(*when), F.struct(F.concat(F.lit(ident), "w").alias("id"), F.concat(F.lit(before), "w", F.lit(after)).alias("path")))
+    word = w.select(F.explode(F.array(place((0, 1), "notes/", "", ".md"), place((1, 2), "xen/", "en ", ".md"), place((2, 3), "", "root ", ".md"), place((4,), "", "long ", ".markdown"))).alias("x")).where("x is not null").select("x.*")
+    return Graph(page.unionByName(notes(word, id=F.col("id"), path=F.col("path"))))
+
+
 def opinions(spark: SparkSession, sf_dir: str) -> Graph:
     """Labelled documents in the order of their ids within a language and source; a good one contradicts a toxic one after it."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
