@@ -252,8 +252,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay if one of each group of near copies does: the one with the smallest id, rows without one
     last; of rows with one id, the one whose text has the smallest hash.
 
-    Texts that share an id are told apart. Of rows that are equal in id and text one stays, by the smallest hash of all its columns.
-    Null and wordless texts are one group. Names of other columns don't matter. No rows give no rows.
+    Texts that share an id are told apart. Of rows that are equal in id and text one stays, by the smallest hash of all its columns
+    as a text. Null and wordless texts are one group. Names and types of other columns don't matter. No rows give no rows.
     """
     the_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     hashed = docs.select(the_id.alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
@@ -266,5 +266,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = written(stays.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "th", "n"))
     rows = docs.select(F.coalesce(the_id, F.lit(0)).alias("id"), the_id.isNull().alias("no_id"), F.xxhash64(text).alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     kept = rows.join(stays, ["id", "no_id", "th"])
-    again = kept.where("n > 1").groupBy("id", "no_id", "th").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    again = kept.where("n > 1").groupBy("id", "no_id", "th").agg(F.min_by("doc", F.xxhash64(F.col("doc").cast("string"))).alias("doc"))
     return kept.where("n = 1").select("doc").unionByName(again.select("doc")).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
