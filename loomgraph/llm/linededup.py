@@ -177,27 +177,29 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS) -> DataFrame:
-    """``lines_of`` without the text of the lines but with their keys; null for lines too short to be joined by edits."""
-    line, length = F.col("line"), F.col("n")
-    keys = F.when(length >= chars, _keys(line, length, edits, chars))
-    return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", keys.alias("keys"))
+    """``lines_of`` with the text of those lines only that are long enough to be joined by edits."""
+    return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", F.when(F.col("n") >= chars, F.col("line")).alias("line"))
 
 
-def edit_links(narrow: DataFrame, first: DataFrame, lines: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
+def different_lines(narrow: DataFrame) -> DataFrame:
+    """(hash, hash2, first, n, line): each line once, with the first document that has it and the number of those that do."""
+    return narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+
+
+def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
     """Pairs (a, a2, b, b2) of the hashes of different lines within their threshold, the earlier line first.
 
-    ``narrow`` has the keys, ``first`` (hash, hash2, first) the first document of each line, and ``lines`` (hash, hash2, line)
-    their texts; repeats are fine. Of lines that are all within the threshold of each other by construction, only the pairs
+    ``first`` is ``different_lines``. Of lines that are all within the threshold of each other by construction, only the pairs
     with the earliest are sure to be given; else all pairs are.
     """
-    keys = narrow.where("keys is not null").select("hash", F.explode("keys").alias("k")).where("k is not null").select("hash", "k.key", "k.side")
-    # most keys have one line only: one hash aggregate drops them (and all copies of a line that has no other neighbour)
+    # each different line has its keys once, whatever the number of its documents, and the two uses of the keys read one shuffle
+    cut = _keys(F.col("line"), F.length("line"), edits, chars)
+    keys = first.where("line is not null").select("hash", F.explode(cut).alias("k")).where("k is not null").select("hash", "k.key", "k.side").repartition("key")
+    # most keys have one line only
     shared = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.bool_or(_is_index(F.col("side"))).alias("index")).where("low < high and index").select("key")
-    # both joins shuffle at every size: what is shared grows with the lines
-    small = written(keys.join(written(shared).hint("merge"), "key").distinct())
+    small = written(keys.join(shared.hint("merge"), "key", "left_semi"))
     hashes = written(small.select("hash").distinct())
-    text = lines.join(hashes.hint("merge"), "hash").groupBy("hash", "hash2").agg(F.first("line").alias("line")).withColumn("sketch", sketch(F.col("line")))
-    text = written(text.join(first.select("hash", "hash2", "first"), ["hash", "hash2"]))
+    text = written(first.where("line is not null").select("hash", "hash2", "line", "first").join(hashes.hint("merge"), "hash").withColumn("sketch", sketch(F.col("line"))))
     order = F.struct("first", "line", "hash", "hash2")
     # the level: keys with their lines; from the second on, also what is left of each line under the key
     level, met = written(small.join(text.select("hash", "sketch"), "hash").select("key", "hash", "side", "sketch")), []
@@ -278,9 +280,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line; a text that lost all lines is empty. Names of other columns don't matter. No rows give no rows.
     """
     narrow = written(narrow_lines(docs, id_col, text_col, edits, chars))
-    first = written(narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    lines = lines_of(docs, id_col, text_col).where(F.col("n") >= chars).select("hash", "hash2", "line")
-    links = edit_links(narrow, first, lines, edits, chars, full)
+    first = written(different_lines(narrow))
+    links = edit_links(first, edits, chars, full)
     later = written(links.select(F.col("b").alias("hash"), F.col("b2").alias("hash2")).distinct()).withColumn("near", F.lit(True))
     state = first.join(later, ["hash", "hash2"], "left").where("n > 1 or near").select("hash", "hash2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     seen = narrow.select("doc_id", "text_hash", "no", "hash", "hash2").join(state, ["hash", "hash2"])
