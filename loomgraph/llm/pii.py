@@ -8,6 +8,7 @@ personal data has a digit or an ``@``, so windows without either can only decode
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+#: How the network's numbers may be written, more freely than those of the patterns.
+_WRITTEN = {"card": re.compile(r"[0-9](?:[\x20.\-/]*[0-9])*"), "phone": re.compile(r"[+(]*[0-9](?:[\x20().\-/]*[0-9])*")}
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -260,17 +263,40 @@ def plausible(text: str, span: Span) -> Span | None:
     while b > a and text[b - 1].isspace():
         b -= 1
     part = text[a:b]
-    digits = len(_DIGIT.findall(part))
-    good = {"email": "@" in part and "." in part and b - a >= 6, "ip": digits >= 4 and part.count(".") == 3, "card": 13 <= digits <= 19, "phone": 9 <= digits <= 15}[kind]
+    digits = _DIGIT.findall(part)
+    if kind == "email":
+        good = "@" in part and "." in part and b - a >= 6
+    elif kind == "ip":
+        good = part.count(".") == 3 and all(re.fullmatch("[0-9]+", x) and len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in part.split("."))
+    else:
+        good = _WRITTEN[kind].fullmatch(part) is not None and (13 <= len(digits) <= 19 and _luhn("".join(digits)) if kind == "card" else 9 <= len(digits) <= 15)
     return (kind, a, b) if good else None
 
 
+def _apart(spans: list[Span]):
+    """Whether a stretch overlaps none of ``spans``, by binary search among what they cover."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def apart(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b)
+        return i == 0 or ends[i - 1] <= a
+
+    return apart
+
+
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text: the network adds what overlaps no base span."""
     out = []
     for text, more in zip(texts, found_spans(texts, tagger), strict=True):
         base = base_spans(text)
-        good = [s for s in (plausible(text, x) for x in more) if s and all(s[2] <= a or b <= s[1] for _, a, b in base)]
+        apart = _apart(base)
+        good = [s for s in (plausible(text, x) for x in more) if s and apart(s[1], s[2])]
         out.append((base, sorted({*base, *good}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
