@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, scope
 from loomgraph.operators import graph as gr
-from loomgraph.operators import asof, lint, strong, walks
+from loomgraph.operators import asof, lint, strong, walks, wikilinks
 from loomgraph.sources import derived
 from loomgraph.sources.notes import NO_FRONT
 
@@ -151,6 +151,11 @@ def note_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def wikilinks_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wikilinks.rewritten(derived.linked_documents(spark, sf_dir).select("path", "body"))
+    return out.select("path", "n_links", "n_known", F.sha2("body", 256).alias("sha256"))
+
+
 def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.read(spark, sf_dir, "part").select("p_partkey", paths.slug(F.col("p_name")).alias("slug"))
 
@@ -179,7 +184,7 @@ def key_path():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, slug_ids, path_normalize, relative_links, malformed_notes)}
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, wikilinks_rewritten, slug_ids, path_normalize, relative_links, malformed_notes)}
 
 _CHAIN = """
 o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -316,6 +321,23 @@ from told left join seen using (event_id)""",
     "impact_depth_histogram": f"with recursive {_FK} select cast(depth as bigint) as depth, count(*) as n from walk where depth > 0 group by depth",
     "export_manifest_counts": "select 'depends_on' as type, count(*) as n, 0 as with_evidence, 0 as with_scope from documents",
     "note_hashes": "select doc_id, sha256(text) as sha256 from documents",
+    "wikilinks_rewritten": r"""
+with d as (select doc_id as i, lang, coalesce(text, '') as text, (max(doc_id) over () + 2) // 2 as half from documents),
+n as (select *, (i * 7 + 3) % half as other, i % half as own, lang || '/doc-' || i % half || case when i < half then '.md' else '.markdown' end as path from d),
+f as (select own as k, min(path) as dst from n group by own),
+l as (
+  select n.*, case i % 6 when 0 then 'doc-' || other when 1 then 'DOC-' || other when 2 then 'Doc-' || other || '.MD' when 3 then lang || '/doc-' || own when 4 then lang || '/doc-' || own || '.md' else 'lost ' || other end as base,
+    case i % 6 when 1 then '#Top' when 4 then '#b' else '' end as anchor from n),
+m as (
+  select l.*, case l.i % 6 when 0 then a.dst when 1 then a.dst when 2 then c.path when 5 then null else b.path end as dst
+  from l left join f a on a.k = other left join n b on b.own = l.own and b.path = l.lang || '/doc-' || l.own || '.md' left join n c on c.own = l.other and c.i < c.half),
+t as (
+  select *, case when i % 6 = 4 then upper(lang) || substr(base, length(lang) + 1) || ' # b' else base || anchor end as said,
+    case when dst is null then './' || case when i % 6 = 4 then upper(lang) || substr(base, length(lang) + 1) when base like '%.md' then base else base || '.md' end
+      when starts_with(dst, lang || '/') then './' || substr(dst, length(lang) + 2) else '../' || dst end || anchor as href from m)
+select path, cast(4 as bigint) as n_links, cast(case when dst is null then 0 else 2 end as bigint) as n_known,
+  sha256(text || chr(10) || 'See [' || said || '](' || href || '), [up](#here) and [that one](' || href || ')]' || chr(10) || '  ~~~ x' || chr(10) || '[[doc-1]] [[lost]]' || chr(10) || '```' || chr(10) || 'No [end], no [link]; [[../up](./end], no [link]; [[../up.md)' || chr(13) || chr(10)) as sha256
+from t""",
     "slug_ids": r"select p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(p_name, '[^A-Za-z0-9\-_\s]', '', 'g')), '[-_\s]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') as slug from part",
     "path_normalize": r"select page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') || '/y/note.md' as path, cast(null as varchar) as outside from pages",
     "relative_links": r"with p as (select page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') || '/y/note.md' as path from pages) select page_id, '../../' || path as from_index, './' || path as from_root from p",

@@ -144,6 +144,19 @@ def page_links(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(page.unionByName(notes(word, id=F.col("id"), path=F.col("path"))))
 
 
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, body): documents as notes, two of which share each name, with two lines of links to others by path, name or stem in any case,
+    with anchors and texts, to none, and some between fences."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = d.crossJoin(F.broadcast(d.agg(F.floor((F.max("doc_id") + 2) / 2).alias("half"))))
+    i, text = F.col("doc_id"), lambda c: c.cast("string")
+    other = (i * 7 + 3) % F.col("half")
+    name = F.when(i % 6 == 0, F.concat(F.lit("doc-"), text(other))).when(i % 6 == 1, F.concat(F.lit("DOC-"), text(other), F.lit("#Top"))).when(i % 6 == 2, F.concat(F.lit("Doc-"), text(other), F.lit(".MD"))).when(i % 6 == 3, F.concat("lang", F.lit("/doc-"), text(i % F.col("half"))))
+    name = name.when(i % 6 == 4, F.concat(F.upper("lang"), F.lit("/doc-"), text(i % F.col("half")), F.lit(".md # b "))).otherwise(F.concat(F.lit("lost "), text(other)))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\nSee [["), name, F.lit("]], [[ #here | up ]] and [["), name, F.lit("|that one]]]\n  ~~~ x\n[[doc-1]] [[lost]]\n```\nNo [[end], no [link]; [[../up]]\r\n"))
+    return d.select(F.concat("lang", F.lit("/doc-"), text(i % F.col("half")), F.when(i < F.col("half"), ".md").otherwise(".markdown")).alias("path"), body.alias("body"), "doc_id")
+
+
 def opinions(spark: SparkSession, sf_dir: str) -> Graph:
     """Labelled documents in the order of their ids within a language and source; a good one contradicts a toxic one after it."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
