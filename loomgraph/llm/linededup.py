@@ -18,7 +18,7 @@ key are within it of each other, and each is linked to the earliest of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import broadcast_if_small, written
@@ -176,14 +176,12 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return t.where(~F.contains("line", F.lit("\n"))).withColumns({"hash": F.xxhash64("line"), "hash2": F.xxhash64(F.lit(6), "line"), "n": F.length("line")})
 
 
-def narrow_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS) -> DataFrame:
-    """``lines_of`` with the text of those lines only that are long enough to be joined by edits."""
-    return lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2", F.when(F.col("n") >= chars, F.col("line")).alias("line"))
-
-
-def different_lines(narrow: DataFrame) -> DataFrame:
-    """(hash, hash2, first, n, line): each line once, with the first document that has it and the number of those that do."""
-    return narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+def different_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:
+    """(hash, hash2, line, first, n): each line once, with the first document that has it and the number of those that do; ``line`` only if
+    it is long enough to be joined by edits."""
+    line = F.when(F.col("n") >= chars, F.col("line")).alias("line")
+    # the line is grouped by as well: then a hash table does, and no sort
+    return lines_of(docs, id_col, text_col).select("doc_id", "hash", "hash2", line).groupBy("hash", "hash2", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
 
 
 def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
@@ -192,14 +190,16 @@ def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: i
     ``first`` is ``different_lines``. Of lines that are all within the threshold of each other by construction, only the pairs
     with the earliest are sure to be given; else all pairs are.
     """
-    # each different line has its keys once, whatever the number of its documents, and the two uses of the keys read one shuffle
+    # each different line has its keys once, whatever the number of its documents, and they are dealt once
     cut = _keys(F.col("line"), F.length("line"), edits, chars)
-    keys = first.where("line is not null").select("hash", F.explode(cut).alias("k")).where("k is not null").select("hash", "k.key", "k.side").repartition("key")
+    keys = first.where("line is not null").select("hash", F.explode(cut).alias("k")).where("k is not null").select("hash", "k.key", "k.side")
+    of_key = Window.partitionBy("key")
+    known = {"low": F.min("hash").over(of_key), "high": F.max("hash").over(of_key), "index": F.bool_or(_is_index(F.col("side"))).over(of_key)}
     # most keys have one line only
-    shared = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.bool_or(_is_index(F.col("side"))).alias("index")).where("low < high and index").select("key")
-    small = written(keys.join(shared.hint("merge"), "key", "left_semi"))
+    small = written(keys.withColumns(known).where("low < high and index").select("key", "hash", "side").distinct())
     hashes = written(small.select("hash").distinct())
-    text = written(first.where("line is not null").select("hash", "hash2", "line", "first").join(hashes.hint("merge"), "hash").withColumn("sketch", sketch(F.col("line"))))
+    few = broadcast_if_small(hashes, hashes.count(), 1_000_000)  # of 8 bytes
+    text = written(first.where("line is not null").select("hash", "hash2", "line", "first").join(few, "hash").withColumn("sketch", sketch(F.col("line"))))
     order = F.struct("first", "line", "hash", "hash2")
     # the level: keys with their lines; from the second on, also what is left of each line under the key
     level, met = written(small.join(text.select("hash", "sketch"), "hash").select("key", "hash", "side", "sketch")), []
@@ -279,12 +279,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one document: they don't lose lines to each other. Null texts stay null and empty ones empty, with no line and one
     line; a text that lost all lines is empty. Names of other columns don't matter. No rows give no rows.
     """
-    narrow = written(narrow_lines(docs, id_col, text_col, edits, chars))
-    first = written(different_lines(narrow))
+    narrow = written(lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2"))
+    first = written(different_lines(docs, id_col, text_col, chars))
     links = edit_links(first, edits, chars, full)
     later = written(links.select(F.col("b").alias("hash"), F.col("b2").alias("hash2")).distinct()).withColumn("near", F.lit(True))
     state = first.join(later, ["hash", "hash2"], "left").where("n > 1 or near").select("hash", "hash2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    seen = narrow.select("doc_id", "text_hash", "no", "hash", "hash2").join(state, ["hash", "hash2"])
+    seen = narrow.join(state, ["hash", "hash2"])
     goes = seen.where("near or doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("gone"), F.count_if(F.col("doc_id") == F.col("first")).alias("n_near"))
     text = F.col(f"doc.`{text_col}`").cast("string")
     rows = docs.select(_id(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))

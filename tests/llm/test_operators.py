@@ -266,7 +266,7 @@ def distance(a, b):
 def line_links(spark, lines, **options):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
     texts = linededup.lines_of(df).select("hash", "hash2", "line")
-    first = linededup.different_lines(linededup.narrow_lines(df, **{k: v for k, v in options.items() if k != "full"}))
+    first = linededup.different_lines(df, **{k: v for k, v in options.items() if k == "chars"})
     of = {(r.hash, r.hash2): r.line for r in texts.collect()}
     return {(of[r.a, r.a2], of[r.b, r.b2]) for r in linededup.edit_links(first, **options).collect()}
 
