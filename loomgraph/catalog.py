@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths, scope
 from loomgraph.operators import graph as gr
 from loomgraph.operators import asof, lint, strong, walks, wikilinks
+from loomgraph.plans import changes
 from loomgraph.sources import derived
+from loomgraph.session import saved
 from loomgraph.sources.notes import NO_FRONT
 
 AS_OF = "1998-06-01"
@@ -138,6 +140,12 @@ def impact_from_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node", F.col("depth").cast("long").alias("depth"), F.array_join("trail", " > ").alias("trail"))
 
 
+def impact_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = derived.read(spark, sf_dir, "nation").select(derived.key("nation-", "n_nationkey").alias("node"))
+    out = walks.impact(derived.supplies(spark, sf_dir), seeds)
+    return out.select("seed", "node", F.col("depth").cast("long").alias("depth"), F.array_join("trail", " > ").alias("trail"))
+
+
 def impact_depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _n(impact_from_region(spark, sf_dir), "depth")
 
@@ -156,6 +164,22 @@ def wikilinks_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "n_links", "n_known", F.sha2("body", 256).alias("sha256"))
 
 
+def plan_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's diff, applied to it again."""
+    pairs = derived.edited_documents(spark, sf_dir)
+    plan = saved(changes.planned(pairs))
+    made = changes.checked(pairs.select("path", F.col("old").alias("text")), plan).select("path", "status", F.sha2("text", 256).alias("sha256"))
+    return made.join(plan.select("path", "source_sha256", "expected_new_sha256"), "path", "left")
+
+
+def plan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan against documents some of which have been changed since, are as planned already or have gone."""
+    pairs = derived.edited_documents(spark, sf_dir)
+    k = F.col("doc_id") % 10
+    notes = pairs.where(k != 4).select("path", F.when(k.isin(1, 2), F.col("new")).when(k == 3, F.concat("old", F.lit("!"))).otherwise(F.col("old")).alias("text"))
+    return _n(changes.checked(notes, changes.planned(pairs.where(k != 5))), "status")
+
+
 def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.read(spark, sf_dir, "part").select("p_partkey", paths.slug(F.col("p_name")).alias("slug"))
 
@@ -184,7 +208,7 @@ def key_path():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_depth_histogram, export_manifest_counts, note_hashes, wikilinks_rewritten, slug_ids, path_normalize, relative_links, malformed_notes)}
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_of_nations, impact_depth_histogram, export_manifest_counts, note_hashes, wikilinks_rewritten, plan_diffs, plan_check, slug_ids, path_normalize, relative_links, malformed_notes)}
 
 _CHAIN = """
 o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -196,6 +220,10 @@ tie as (select a.*, max_by(b.k, (b.day, b.k)) as before from o a left join o b o
 edge as (select t.k as src, t.before as dst, t.st, t.pr, p.st as dst_st, p.pr as dst_pr from tie t join o p on p.k = t.before),
 act as (select k from o where k not in (select dst from edge where st = dst_st and pr = dst_pr)),
 pair as (select a.dst, a.src as s1, b.src as s2 from edge a join edge b on a.dst = b.dst and a.src < b.src and a.st = b.st and a.pr = b.pr where a.src in (select k from act) and b.src in (select k from act))"""
+_EDITED = r"""
+d as (select doc_id, coalesce(text, '') as old, string_split(coalesce(text, ''), chr(10)) as l from documents),
+e as (select doc_id, old, array_to_string(list_transform(list_filter(range(len(l)), lambda j: (doc_id + j) % 7 <> 0), lambda j: case when (doc_id + j) % 7 = 3 then '> ' || l[j + 1] else l[j + 1] end), chr(10)) as mid from d),
+pair as (select doc_id, 'doc-' || doc_id as path, old, coalesce(mid, '') || case when doc_id % 2 = 0 then chr(10) || 'The end' || chr(10) else '' end as new from e)"""
 _STEP = """
 hit as (select 'order-' || k as src, 'order-' || before as dst from chain where before is not null and st = 'O'),
 miss as (select distinct 'order-' || before as dst from chain where before is not null and st <> 'O'),
@@ -318,6 +346,17 @@ select event_id, seed, as_of, case when as_of is null then 'MissingAsOf' when as
 from told left join seen using (event_id)""",
     "historical_status_counts": f"with {_CHAIN} select status, count(*) as n from (select root, case when min(day) > '{AS_OF}' then 'not_yet_valid' else 'active' end as status from chain group by root) group by status",
     "impact_from_region": f"with recursive {_FK} select node, cast(depth as bigint) as depth, trail from walk where depth > 0",
+    "impact_of_nations": """
+with e as (
+  select 'customer-' || c_custkey as src, 'nation-' || c_nationkey as dst from customer union all select 'supplier-' || s_suppkey, 'nation-' || s_nationkey from supplier
+  union all select 'order-' || o_orderkey, 'customer-' || o_custkey from orders union all select 'line-' || l_orderkey || '-' || l_linenumber, 'order-' || l_orderkey from lineitem
+  union all select 'line-' || l_orderkey || '-' || l_linenumber, 'part-' || l_partkey from lineitem union all select 'line-' || l_orderkey || '-' || l_linenumber, 'supplier-' || l_suppkey from lineitem
+  union all select 'part-' || p_partkey, 'supplier-' || (p_partkey * m + b) % n from part, (select count(*) as n from supplier), (values (1, 0), (7, 1)) v(m, b)),
+a as (select 'nation-' || n_nationkey as seed, src as node, ['nation-' || n_nationkey, src] as trail from nation join e on dst = 'nation-' || n_nationkey group by all),
+b as (select seed, src as node, min(list_append(trail, src)) as trail from a join e on dst = node group by seed, src having (seed, src) not in (select (seed, node) from a)),
+c as (select seed, src as node, min(list_append(trail, src)) as trail from b join e on dst = node group by seed, src having (seed, src) not in (select (seed, node) from a) and (seed, src) not in (select (seed, node) from b)),
+d as (select seed, src as node, min(list_append(trail, src)) as trail from c join e on dst = node group by seed, src having (seed, src) not in (select (seed, node) from a union all select (seed, node) from b union all select (seed, node) from c))
+select seed, node, cast(len(trail) - 1 as bigint) as depth, array_to_string(trail, ' > ') as trail from (select * from a union all select * from b union all select * from c union all select * from d)""",
     "impact_depth_histogram": f"with recursive {_FK} select cast(depth as bigint) as depth, count(*) as n from walk where depth > 0 group by depth",
     "export_manifest_counts": "select 'depends_on' as type, count(*) as n, 0 as with_evidence, 0 as with_scope from documents",
     "note_hashes": "select doc_id, sha256(text) as sha256 from documents",
@@ -338,6 +377,10 @@ t as (
 select path, cast(4 as bigint) as n_links, cast(case when dst is null then 0 else 2 end as bigint) as n_known,
   sha256(text || chr(10) || 'See [' || said || '](' || href || '), [up](#here) and [that one](' || href || ')]' || chr(10) || '  ~~~ x' || chr(10) || '[[doc-1]] [[lost]]' || chr(10) || '```' || chr(10) || 'No [end], no [link]; [[../up](./end], no [link]; [[../up.md)' || chr(13) || chr(10)) as sha256
 from t""",
+    "plan_diffs": f"""with {_EDITED} select path, case when old <> new then 'modified' else 'untouched' end as status, sha256(new) as sha256, case when old <> new then sha256(old) end as source_sha256, case when old <> new then sha256(new) end as expected_new_sha256 from pair""",
+    "plan_check": f"""with {_EDITED},
+told as (select case when doc_id % 10 = 4 and old <> new then 'missing' when doc_id % 10 = 4 then null when doc_id % 10 = 5 or old = new then 'untouched' when doc_id % 10 in (1, 2) then 'up_to_date' when doc_id % 10 = 3 and new <> old || '!' then 'changed' when doc_id % 10 = 3 then 'up_to_date' else 'modified' end as status from pair)
+select status, count(*) as n from told where status is not null group by status""",
     "slug_ids": r"select p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(p_name, '[^A-Za-z0-9\-_\s]', '', 'g')), '[-_\s]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') as slug from part",
     "path_normalize": r"select page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') || '/y/note.md' as path, cast(null as varchar) as outside from pages",
     "relative_links": r"with p as (select page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') || '/y/note.md' as path from pages) select page_id, '../../' || path as from_index, './' || path as from_root from p",

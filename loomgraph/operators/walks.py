@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scope as sc
 from loomgraph.operators.graph import Graph
+from loomgraph.operators.order import numbered
 from loomgraph.operators.strong import id_edges, strong_components
 from loomgraph.session import Growing, saved
 
@@ -170,18 +171,41 @@ def historical(g: Graph, as_of: str, scope: dict[str, str] | None = None) -> Dat
     return a.select("root", status.alias("status"), F.when(status == "active", F.col("one")).alias("active_guidance_id"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node, depth, trail): what depends on each seed, over ``edges(src, dst)``, each once and by a shortest way.
+def discovered(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, depth, parent, rank) of seeds(node) and what depends on them over ``edges(src, dst)``, as breadth-first searches from all
+    seeds at once find it.
 
-    Of ways of one length the one through the smaller ids counts, level by level, as a breadth-first search finds them.
+    Each node counts once for a seed, at its least depth, found by the dependency that was itself found first; among what one
+    finds, ids decide. ``rank`` is the place in the order of a level, so a row holds one pointer and no trail.
     """
     edges = saved(edges.select("src", "dst").distinct())  # read in every round
-    front = saved(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.array("node").alias("trail")))
-    seen = front
+    whole = F.lit(0).cast("long")
+    found = Growing(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), whole.alias("rank")).distinct())
     while True:
-        nxt = front.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("to")), "node").select("seed", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("trail", F.col("to")).alias("trail"))
-        nxt = nxt.groupBy("seed", "node").agg(F.min("depth").alias("depth"), F.min("trail").alias("trail"))
-        nxt = saved(nxt.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
-        if nxt.isEmpty():
-            return seen.where("depth > 0")
-        seen, front = seen.unionByName(nxt), nxt
+        nxt = found.last().join(edges.select(F.col("dst").alias("node"), F.col("src").alias("to")), "node")
+        nxt = nxt.groupBy("seed", F.col("to").alias("node")).agg(F.min(F.struct("rank", "node")).alias("by"), F.min("depth").alias("depth"))
+        nxt = nxt.join(found.all().select("seed", "node"), ["seed", "node"], "left_anti")
+        nxt = nxt.select("seed", "node", (F.col("depth") + 1).alias("depth"), F.col("by.node").alias("parent"), F.col("by.rank").alias("after"))
+        if found.add(numbered(nxt, "seed", "after", "node").withColumnRenamed("pos", "rank")).isEmpty():
+            return found.all()
+
+
+def trails(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seed, node, trail): the way from the seed to each node of asked(seed, node), by ``discovered`` rows.
+
+    Only what is asked for is walked, and the walk back doubles its length in each step.
+    """
+    jump = saved(found.where("parent is not null").select("seed", F.col("node").alias("here"), F.col("parent").alias("up")))
+    way, length = Growing(asked.select("seed", "node", F.lit(0).cast("long").alias("back"), F.col("node").alias("here")).distinct()), 1
+    while not way.add(way.all().join(jump, ["seed", "here"]).select("seed", "node", (F.col("back") + length).alias("back"), F.col("up").alias("here"))).isEmpty():
+        far = jump.select("seed", F.col("here").alias("up"), F.col("up").alias("far"))
+        jump, length = saved(jump.join(far, ["seed", "up"]).select("seed", "here", F.col("far").alias("up"))), length * 2
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("place"), "here")))
+    return way.all().groupBy("seed", "node").agg(F.transform(steps, lambda x: x.here).alias("trail"))
+
+
+def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, depth, trail): what depends on each seed, over ``edges(src, dst)``, each once and by the way on which a breadth-first
+    search finds it."""
+    found = saved(discovered(edges, seeds).where("depth > 0 or node = seed"))
+    return found.where("depth > 0").select("seed", "node", "depth").join(trails(found, found.where("depth > 0")), ["seed", "node"])

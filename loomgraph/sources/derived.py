@@ -64,6 +64,16 @@ def part_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(key("part-", "k").alias("s"), key("part-", "to").alias("d"))
 
 
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``foreign_keys``, and parts on two suppliers, lines on their part and supplier: many ways lead to a line."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    p = p.crossJoin(F.broadcast(read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))))
+    parts = p.select(key("part-", "k").alias("src"), F.explode(F.array(F.col("k") % F.col("n"), (F.col("k") * 7 + 1) % F.col("n"))).alias("to")).select("src", key("supplier-", "to").alias("dst"))
+    name = F.concat(F.lit("line-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    lines = read(spark, sf_dir, "lineitem").select(name.alias("src"), F.explode(F.array(key("part-", "l_partkey"), key("supplier-", "l_suppkey"))).alias("dst"))
+    return foreign_keys(spark, sf_dir).unionByName(parts).unionByName(lines)
+
+
 def order_terms(spark: SparkSession, sf_dir: str) -> Graph:
     """``order_chain`` with terms: every third order is valid for 60 days, every 23rd has no first day."""
     g = order_chain(spark, sf_dir)
@@ -157,6 +167,15 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat("lang", F.lit("/doc-"), text(i % F.col("half")), F.when(i < F.col("half"), ".md").otherwise(".markdown")).alias("path"), body.alias("body"), "doc_id")
 
 
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, old, new): documents and what becomes of them: some lines go, some are quoted, and half of the texts get an end."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("old"))
+    i = F.col("doc_id")
+    lines = F.filter(F.transform(F.split("old", "\n", -1), lambda x, j: F.struct(x.alias("x"), ((i + j) % 7).alias("k"))), lambda y: y.k != 0)
+    new = F.array_join(F.transform(lines, lambda y: F.when(y.k == 3, F.concat(F.lit("> "), y.x)).otherwise(y.x)), "\n")
+    return d.select(key("doc-", "doc_id").alias("path"), "old", F.when(i % 2 == 0, F.concat(new, F.lit("\nThe end\n"))).otherwise(new).alias("new"), "doc_id")
+
+
 def opinions(spark: SparkSession, sf_dir: str) -> Graph:
     """Labelled documents in the order of their ids within a language and source; a good one contradicts a toxic one after it."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
