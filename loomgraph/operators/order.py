@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import broadcast_if_small, saved
 
 
-RUN = F.shiftright("_at", 33)
+def _run() -> Column:
+    return F.shiftright("_at", 33)
 
 
 def _sorted(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -30,9 +31,9 @@ def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
     A row's place in its run is known there, and what lies in earlier runs from one small count for each run and key.
     """
     runs = _sorted(rows, key, *order)
-    count = runs.groupBy(key, RUN.alias("_run")).agg(F.min("_at").alias("_low"), F.count("*").alias("_rows"))
+    count = runs.groupBy(key, _run().alias("_run")).agg(F.min("_at").alias("_low"), F.count("*").alias("_rows"))
     count = saved(count.withColumns({"_before": F.coalesce(F.sum("_rows").over(_earlier_runs(key)), F.lit(0)), "n": F.sum("_rows").over(Window.partitionBy(key))}).drop("_rows"))
-    out = runs.withColumn("_run", RUN).join(broadcast_if_small(count, count.count()), [key, "_run"])
+    out = runs.withColumn("_run", _run()).join(broadcast_if_small(count, count.count()), [key, "_run"])
     return out.withColumn("pos", F.col("_at") - F.col("_low") + F.col("_before")).drop("_at", "_run", "_low", "_before")
 
 
@@ -41,7 +42,7 @@ def running(rows: DataFrame, key: str, order: list[str], sums: list[str]) -> Dat
 
     Totals are taken within runs, and earlier runs add one row for each run and key; no window holds a whole key.
     """
-    runs = _sorted(rows, key, *order).withColumn("_run", RUN)
+    runs = _sorted(rows, key, *order).withColumn("_run", _run())
     total = runs.groupBy(key, "_run").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     total = saved(total.withColumns({f"_{c}": F.coalesce(F.sum(f"_{c}").over(_earlier_runs(key)), F.lit(0)) for c in sums}))
     own = Window.partitionBy(key, "_run").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
