@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from loomgraph.operators import asof, lint, strong, walks, wikilinks
 from loomgraph.plans import changes
 from loomgraph.sources import derived
 from loomgraph.session import saved
-from loomgraph.sources.notes import NO_FRONT
+from loomgraph.sources.notes import NO_FRONT, load_vault, save_vault, shared_folder
 
 AS_OF = "1998-06-01"
 OPEN_ORDERS = {"status": "O"}
@@ -164,6 +166,15 @@ def wikilinks_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "n_links", "n_known", F.sha2("body", 256).alias("sha256"))
 
 
+def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of notes and read again."""
+    root = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    save_vault(derived.vault_files(spark, sf_dir), root)
+    g = load_vault(spark, root)
+    good = g.nodes.select("path", "id", "title", scope.text(F.col("scope")).alias("scope"), F.col("relations")[0]["type"].alias("relation"), F.sha2("body", 256).alias("body_sha256"))
+    return good.unionByName(g.malformed, allowMissingColumns=True)
+
+
 def plan_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's diff, applied to it again."""
     pairs = derived.edited_documents(spark, sf_dir)
@@ -208,7 +219,7 @@ def key_path():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_of_nations, impact_depth_histogram, export_manifest_counts, note_hashes, wikilinks_rewritten, plan_diffs, plan_check, slug_ids, path_normalize, relative_links, malformed_notes)}
+QUERIES = {f.__name__: f for f in (inventory_counts, edges_by_type, inverse_relations, active_nodes, scope_overlap_pairs, scope_mismatch, broken_targets, link_targets, competing_successors, competing_rivals, competing_classes, contradictions, supersession_cycles, cycle_members, lint_summary, current_all_seeds, current_scoped, current_conflicts, overtaken_candidates, current_overtaken, current_contradictions, current_advisories, lineage_chain, lineage_evidence, historical_as_of, historical_for_dates, historical_status_counts, impact_from_region, impact_of_nations, impact_depth_histogram, export_manifest_counts, note_hashes, wikilinks_rewritten, vault_round_trip, plan_diffs, plan_check, slug_ids, path_normalize, relative_links, malformed_notes)}
 
 _CHAIN = """
 o as (select o_orderkey as k, o_custkey as c, o_orderstatus as st, o_orderpriority as pr, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -377,6 +388,12 @@ t as (
 select path, cast(4 as bigint) as n_links, cast(case when dst is null then 0 else 2 end as bigint) as n_known,
   sha256(text || chr(10) || 'See [' || said || '](' || href || '), [up](#here) and [that one](' || href || ')]' || chr(10) || '  ~~~ x' || chr(10) || '[[doc-1]] [[lost]]' || chr(10) || '```' || chr(10) || 'No [end], no [link]; [[../up](./end], no [link]; [[../up.md)' || chr(13) || chr(10)) as sha256
 from t""",
+    "vault_round_trip": f"""
+with d as (select doc_id as i, coalesce(lang, 'none') as lang, coalesce(text, '') as text from documents),
+f as (select *, lang || '/' || i % 5 || '/doc-' || i || case when i % 2 = 0 then '.md' else '.markdown' end as path, case when i % 9 = 0 then '{NO_FRONT.replace(chr(39), chr(39) * 2)}'
+  when i % 11 = 0 then 'Inverse relation type ''required_by'' cannot be declared in frontmatter (inverse relations are dynamically derived)' end as error from d)
+select path, case when error is null then 'doc-' || i end as id, case when error is null then 'no ' || i end as title, case when error is null then 'lang=' || lang end as scope, case when error is null then 'depends_on' end as relation,
+  case when error is null then sha256(text) end as body_sha256, error from f""",
     "plan_diffs": f"""with {_EDITED} select path, case when old <> new then 'modified' else 'untouched' end as status, sha256(new) as sha256, case when old <> new then sha256(old) end as source_sha256, case when old <> new then sha256(new) end as expected_new_sha256 from pair""",
     "plan_check": f"""with {_EDITED},
 told as (select case when doc_id % 10 = 4 and old <> new then 'missing' when doc_id % 10 = 4 then null when doc_id % 10 = 5 or old = new then 'untouched' when doc_id % 10 in (1, 2) then 'up_to_date' when doc_id % 10 = 3 and new <> old || '!' then 'changed' when doc_id % 10 = 3 then 'up_to_date' else 'modified' end as status from pair)

@@ -55,11 +55,11 @@ def answer(g: gr.Graph, root: str, seed: str, mode: str, scope: dict[str, str],
     mode = mode.lower()
     if mode == "historical":
         if not as_of:
-            raise packets.QueryError("Missing required '--as-of <YYYY-MM-DD>' parameter for historical query mode")
+            raise packets.MissingAsOf("Missing required '--as-of <YYYY-MM-DD>' parameter for historical query mode")
         return packets.historical_packet(g, seed, packets.check_date(as_of), scope, root)
     make = {"current": packets.current_packet, "lineage": packets.lineage_packet, "impact": packets.impact_packet}.get(mode)
     if make is None:
-        raise packets.QueryError(f"Unsupported query mode '{mode}'. Currently supported modes: current, lineage, impact, historical")
+        raise packets.UnsupportedMode(f"Unsupported query mode '{mode}'. Currently supported modes: current, lineage, impact, historical")
     return make(g, seed, scope, root)
 
 

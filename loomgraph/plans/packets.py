@@ -29,6 +29,18 @@ class SeedNotFound(QueryError):
     pass
 
 
+class UnsupportedMode(QueryError):
+    pass
+
+
+class MissingAsOf(QueryError):
+    pass
+
+
+class InvalidDateFormat(QueryError):
+    pass
+
+
 class UnresolvedConflict(QueryError):
     pass
 
@@ -43,7 +55,7 @@ def scope_text(scope: dict[str, str]) -> str:
 
 def check_date(day: str) -> str:
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) or not 1 <= int(day[5:7]) <= 12 or not 1 <= int(day[8:]) <= 31:
-        raise QueryError(f"Invalid date format '{day}'. Expected YYYY-MM-DD")
+        raise InvalidDateFormat(f"Invalid date format '{day}'. Expected YYYY-MM-DD")
     return day
 
 

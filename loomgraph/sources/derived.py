@@ -176,6 +176,15 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(key("doc-", "doc_id").alias("path"), "old", F.when(i % 2 == 0, F.concat(new, F.lit("\nThe end\n"))).otherwise(new).alias("new"), "doc_id")
 
 
+def vault_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): documents as files of notes in folders by language and source; every ninth lacks its front, every eleventh has a
+    relation of a kind that is never declared."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    i = F.col("doc_id").cast("string")
+    front = F.concat(F.lit("---\nid: doc-"), i, F.lit("\ntype: Note\ntitle: 'no "), i, F.lit("'\nscope: {lang: "), "lang", F.lit("}\nrelations:\n- type: "), F.when(F.col("doc_id") % 11 == 0, "required_by").otherwise("depends_on"), F.lit("\n  target: doc-0\n---\n"))
+    return d.select(F.concat("lang", F.lit("/"), (F.col("doc_id") % 5).cast("string"), F.lit("/doc-"), i, F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".markdown")).alias("path"), F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("no front\n"), "text")).otherwise(F.concat(front, "text")).alias("content"))
+
+
 def opinions(spark: SparkSession, sf_dir: str) -> Graph:
     """Labelled documents in the order of their ids within a language and source; a good one contradicts a toxic one after it."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels"), "doc_id")
