@@ -17,10 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import broadcast_if_small, scratch, workers_find_us, written
+from loomgraph.llm.common import scratch, workers_find_us, written
+from loomgraph.operators.order import numbered
 
 #: Levels that one pass builds; a run has so many nodes that one is left on top.
 LEVELS = 12
@@ -59,21 +60,6 @@ def group_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` with ``pos`` (from 0) and ``n`` in their ``key``, in the order of ``order``, nulls first; rows equal in all stand as they come.
-
-    One sort by ranges of (key, order): a key with any share of the rows is spread over as many runs as it fills.
-    """
-    tie = written(rows.withColumn("_tie", F.monotonically_increasing_id()))
-    runs = written(tie.orderBy(key, *(F.col(c).asc_nulls_first() for c in order), "_tie").withColumn("_at", F.monotonically_increasing_id()))
-    run = F.shiftright("_at", 33)
-    count = runs.groupBy(key, run.alias("_run")).agg(F.min("_at").alias("_low"), F.count("*").alias("_rows"))
-    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    count = written(count.withColumns({"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "n": F.sum("_rows").over(Window.partitionBy(key))}).drop("_rows"))
-    out = runs.withColumn("_run", run).join(broadcast_if_small(count, count.count()), [key, "_run"])
-    return out.withColumn("pos", F.col("_at") - F.col("_low") + F.col("_before")).drop("_tie", "_at", "_run", "_low", "_before")
-
-
 def _runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[list[tuple]]:
     """The rows of a sorted stream, group by group of equal ``by``."""
     own, at = [], None

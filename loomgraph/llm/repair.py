@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import workers_find_us, written
-from loomgraph.llm.manifest import group_key, numbered
+from loomgraph.llm.manifest import group_key
+from loomgraph.operators.order import numbered
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of a segment, segments joined at once, rows of one recursive query.
