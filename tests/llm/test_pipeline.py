@@ -24,7 +24,7 @@ def test_stages(spark, tmp_path):
     rows += [(400, again[0], "en", "s1", 1), (400, again[1], "en", "s1", 1), (400, again[1], "en", "s1", 1), (401, long, "en", "s2", len(long))]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     clash = ("doc", "toxic", "p_toxic", "size", "taken", "words", "hash", "key", "fp", "th", "stay", "n_gone", "_id", "_key")
-    nested = ("map('k', doc_id) as m", "map() as none", "array(doc_id, null) as a", "named_struct('m', map(1, text)) as st", "encode(text, 'UTF-8') as b")
+    nested = ("map('k', doc_id) as m", "cast(map() as map<string,int>) as none", "array(doc_id, null) as a", "named_struct('m', map(1, text)) as st", "encode(text, 'UTF-8') as b")
     spark.createDataFrame(rows, schema).selectExpr("*", *(f"'x' as {c}" for c in clash), *nested).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
