@@ -95,7 +95,7 @@ class Coder:
         self.back = [back.get(i) for i in range(max(back) + 1)]
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of different pre-tokens, as little-endian 32-bit integers; sentencepiece is called once, as a call costs a hundred words."""
+        """The ids of different pre-tokens, as little-endian 32-bit integers; sentencepiece is called once, as a call costs as much as thirty words."""
         raw = [w.encode() for w in words]
         whole = [self.ranks.get(r) for r in raw]
         merged = iter(self.pieces.encode([mapped(r) for r, rank in zip(raw, whole, strict=True) if rank is None], num_threads=1))
