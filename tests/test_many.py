@@ -178,8 +178,8 @@ def test_wikilinks(spark):
 def test_impact_in_the_order_of_discovery(spark):
     rng = random.Random(12)
     names = [f"n{i:02}" for i in range(40)]
-    pairs = [(a, b) for a, b in (rng.sample(names, 2) for _ in range(110))] + [(f"t{i + 1:02}", f"t{i:02}") for i in range(25)] + [("t00", "n00")]
-    seeds = ["n00", "n07", "n33", "t20", "alone"]
+    pairs = [(a, b) for a, b in (rng.sample(names, 2) for _ in range(110))] + [(f"t{i + 1:02}", f"t{i:02}") for i in range(8)] + [("t00", "n00")]
+    seeds = ["n00", "n07", "n33", "t05", "alone"]
     want = {}
     for seed in seeds:
         queue, way = [seed], {seed: [seed]}
