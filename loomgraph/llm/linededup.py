@@ -10,6 +10,10 @@ segment i and t - i after it, which bounds how far the substring may have moved.
 bit-parallel edit distance: a column of the band is one machine word. Before that, sketches are compared: an edit changes four
 pairs of neighbouring characters at most, so it changes four bits at most of the parities of such pairs.
 
+Of most lines no other is near. Coarse keys tell which may have one: they name the whole multiples of ``chars`` in a length instead
+of the length, and a segment's distance from the nearer end, so a line has five for two edits where the index and its probes
+have twelve. They are made with the lines, and only lines that share one go on, with their texts.
+
 Keys shared by more than ``full`` lines (boilerplate with small changes) are not paired. Their lines are opened: the rest of
 each line, without the segment that agrees, is within the threshold too, so it is cut and probed again under the key, and
 again, until few lines share a key; what all lines of a key begin and end with is left out first. No link is lost on the way. Where less is left than the threshold, all indexed lines of a
@@ -18,6 +22,8 @@ key are within it of each other, and each is linked to the earliest of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +140,11 @@ def _is_index(side: Column) -> Column:
     return side.bitwiseAND(F.lit(INDEX)) != 0
 
 
+def _moves(d: int, parts: int, i: int) -> range:
+    """How far segment ``i`` may have moved in a line of ``d`` more characters."""
+    return range(max(-i, d - (parts - 1 - i)), min(i, d + (parts - 1 - i)) + 1)
+
+
 def _segment_keys(text: Column, of: Column, t: Column, d: int, edits: int, *under: Column) -> list[Column]:
     """The keys of ``text`` towards indexed texts of ``of`` characters, ``d`` fewer than its own; nulls for those beyond ``t`` edits."""
     out = []
@@ -141,15 +152,48 @@ def _segment_keys(text: Column, of: Column, t: Column, d: int, edits: int, *unde
         for i in range(parts):
             begin = (of * i / parts).cast("int")
             size = (of * (i + 1) / parts).cast("int") - begin
-            for move in range(max(-i, d - (parts - 1 - i)), min(i, d + (parts - 1 - i)) + 1):
+            for move in _moves(d, parts, i):
                 key = F.xxhash64(*under, of, F.lit(parts * 16 + i), F.substr(text, begin + (1 + move), size))
                 out.append(F.when(t == parts - 1, F.struct(key.alias("key"), F.lit(_side(d, parts, i, move)).alias("side"))))
     return out
 
 
-def _keys(line: Column, length: Column, edits: int, chars: int) -> Column:
-    """The keys of a line under which it is indexed, and its probes for lines of its length and for shorter ones."""
-    return F.array(*(k for d in range(edits + 1) for k in _segment_keys(line, length - d, threshold(length - d, edits, chars), d, edits)))
+def key_rows(lines: DataFrame, edits: int, chars: int) -> DataFrame:
+    """(hash, key, side): the keys of each ``line`` under which it is indexed, and its probes for lines of its length and for shorter ones."""
+    sides = []
+    for d in range(edits + 1):
+        for parts in range(2, edits + 2):
+            sides += [_side(d, parts, i, move) for i in range(parts) for move in _moves(d, parts, i)]
+    # the sides are rows before a key is made: code for all keys of a line at once is too large to be compiled
+    rows = lines.select("hash", "line", F.length("line").alias("n"), F.explode(F.array(*map(F.lit, sides))).alias("side"))
+    d, parts, i, move = _of_side(F.col("side"))
+    rows = rows.select("hash", "line", "side", (F.col("n") - d).alias("of"), parts.alias("parts"), i.alias("i"), move.alias("move")).where(threshold(F.col("of"), edits, chars) == F.col("parts") - 1)
+    begin, end = (F.expr(f"cast(of * {x} / parts as int)") for x in ("i", "(i + 1)"))
+    return rows.select("hash", F.xxhash64("of", F.expr("parts * 16 + i"), F.substr("line", begin + 1 + F.col("move"), end - begin)).alias("key"), "side")
+
+
+def _coarse_keys(lines: DataFrame, edits: int, chars: int) -> DataFrame:
+    """``lines`` with ``coarse``: keys (some of them null) of which any two lines within their threshold share one.
+
+    From the whole multiples of ``chars`` in a line's length, t + 1 segments are cut. Segment i has i edits before it and t - i
+    after it at most, so in the other line it is off by at most i from the beginning and by t - i from the end; the nearer end
+    counts. The longer line, by ``edits`` at most, also has the keys of the next smaller multiple if the shorter may have that.
+    """
+    # one step where a step of one character can't be missed, else each; columns of their own keep the generated code small enough to be compiled
+    steps = [0, edits] if chars >= edits else list(range(edits + 1))
+    multiple = [F.col("n") - d - F.pmod(F.col("n") - d, F.lit(chars)) for d in steps]
+    sized = lines.withColumns({f"_size{k}": m if k == 0 else F.when(m < multiple[k - 1], m) for k, m in enumerate(multiple)})
+    sized = sized.withColumns({f"_t{k}": F.when(F.col(f"_size{k}") >= chars, threshold(F.col(f"_size{k}"), edits, chars)) for k in range(len(steps))})
+    sized = sized.withColumns({f"_cut{k}": (F.col(f"_size{k}") / (F.col(f"_t{k}") + 1)).cast("int") for k in range(len(steps))})
+    keys = []
+    for k in range(len(steps)):
+        size, t, cut = (F.col(f"_{c}{k}") for c in ("size", "t", "cut"))
+        for end in (0, 1):
+            for off in range((edits - end) // 2 + 1):
+                at = F.col("n") - size + cut * (t - off) if end else cut * off
+                each = [F.xxhash64(size, F.lit(2 * off + end), F.substr(F.col("line"), at + (1 + move), cut)) for move in range(-off, off + 1)]
+                keys += [F.when(t >= max(1, 2 * off + end), key) for key in each]
+    return sized.withColumn("coarse", F.when(F.col("n") >= chars, F.array(*keys))).drop(*(f"_{c}{k}" for c in ("size", "t", "cut") for k in range(len(steps))))
 
 
 def _rest(text: Column, of: Column, side: Column) -> Column:
@@ -184,6 +228,15 @@ def different_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lines_of(docs, id_col, text_col).select("doc_id", "hash", "hash2", line).groupBy("hash", "hash2", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
 
 
+def may_be_near(lines: DataFrame) -> DataFrame:
+    """(hash) of the lines that share one of their coarse keys with another line; ``lines`` has (hash, coarse), as often as it likes."""
+    keys = lines.select("hash", F.explode("coarse").alias("key")).where("key is not null")
+    # the ends of a key's hashes are found before the shuffle, so no key's lines are gathered in one task
+    shared = keys.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("key")
+    shared = written(shared)
+    return keys.join(broadcast_if_small(shared, shared.count(), 1_000_000), "key", "left_semi").select("hash").distinct()
+
+
 def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
     """Pairs (a, a2, b, b2) of the hashes of different lines within their threshold, the earlier line first.
 
@@ -191,8 +244,7 @@ def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: i
     with the earliest are sure to be given; else all pairs are.
     """
     # each different line has its keys once, whatever the number of its documents, and they are dealt once
-    cut = _keys(F.col("line"), F.length("line"), edits, chars)
-    keys = first.where("line is not null").select("hash", F.explode(cut).alias("k")).where("k is not null").select("hash", "k.key", "k.side")
+    keys = key_rows(first.where("line is not null"), edits, chars)
     of_key = Window.partitionBy("key")
     known = {"low": F.min("hash").over(of_key), "high": F.max("hash").over(of_key), "index": F.bool_or(_is_index(F.col("side"))).over(of_key)}
     # most keys have one line only
@@ -202,12 +254,12 @@ def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: i
     text = written(first.where("line is not null").select("hash", "hash2", "line", "first").join(few, "hash").withColumn("sketch", sketch(F.col("line"))))
     order = F.struct("first", "line", "hash", "hash2")
     # the level: keys with their lines; from the second on, also what is left of each line under the key
-    level, met = written(small.join(text.select("hash", "sketch"), "hash").select("key", "hash", "side", "sketch")), []
+    level, cool, closed = written(small.join(text.select("hash", "sketch"), "hash").select("key", "hash", "side", "sketch")), [], []
     while True:
         size = level.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"), F.bool_or(_is_index(F.col("side"))).alias("index"))
         size = written(size.where("low < high and index").select("key", (F.col("n") > full).alias("hot")))
         n_hot = size.where("hot").count()
-        met.append(_pairs(level.join(size.where("not hot").select("key"), "key", "left_semi")))
+        cool.append(level.join(size.where("not hot").select("key"), "key", "left_semi").select("key", "hash", "side", "sketch"))
         if not n_hot:
             break
         entry = level.join(broadcast_if_small(size.where("hot").select("key"), n_hot), "key")
@@ -215,19 +267,19 @@ def edit_links(first: DataFrame, edits: int = EDITS, chars: int = CHARS, full: i
             d, _, _, _ = _of_side(F.col("side"))
             entry = entry.join(text.select("hash", "line"), "hash").withColumn("rest", _rest(F.col("line"), F.length("line") - d, F.col("side")))
         entry = written(_trimmed(entry, n_hot))
-        # nothing left to cut: indexed lines are within the threshold of each other, the others are paired with them
-        done = entry.where("n <= t")
-        alike = done.where("index").join(text.select("hash", order.alias("at")), "hash")
-        lead = alike.groupBy("key").agg(F.min("at").alias("lead"))
-        met.append(alike.join(lead, "key").select(F.col("lead.hash").alias("a"), F.col("hash").alias("b")).where("a <> b"))
-        met.append(_bipartite(done))
+        closed.append(entry.where("n <= t").select(F.lit(len(closed)).alias("level"), "key", "hash", "index"))
         cuts = F.array(*(k for d in range(edits + 1) for k in _segment_keys(F.col("rest"), F.col("n"), F.when(F.col("d") == d, F.col("t")), d, edits, F.col("key"))))
         opened = entry.where("n > t").select("hash", "sketch", "rest", "n", "index", F.explode(cuts).alias("k")).where("k is not null")
         side = F.when(F.col("index"), F.col("k.side")).otherwise(F.col("k.side").bitwiseAND(F.lit(INDEX - 1)))
         level = written(opened.select("k.key", "hash", side.alias("side"), "sketch", _rest(F.col("rest"), F.col("n"), F.col("k.side")).alias("rest")).distinct())
-    every = met[0]
-    for more in met[1:]:
-        every = every.union(more)
+    # levels are joined together, not each by joins of its own; a key says under which keys it is
+    every = _pairs(reduce(DataFrame.union, cool))
+    if closed:
+        # nothing left to cut: indexed lines are within the threshold of each other, the others are paired with them
+        done = reduce(DataFrame.union, closed)
+        alike = done.where("index").join(text.select("hash", order.alias("at")), "hash")
+        lead = alike.groupBy("level", "key").agg(F.min("at").alias("lead"))
+        every = every.union(alike.join(lead, ["level", "key"]).select(F.col("lead.hash").alias("a"), F.col("hash").alias("b")).where("a <> b")).union(_bipartite(done))
     every = written(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = every
     for c in "ab":
@@ -265,8 +317,8 @@ def _pairs(level: DataFrame) -> DataFrame:
 
 def _bipartite(done: DataFrame) -> DataFrame:
     """Indexed lines with those that only probe."""
-    one = done.where("index").select("key", F.col("hash").alias("a"))
-    return one.join(done.where("not index").select("key", F.col("hash").alias("b")), "key").where("a <> b").select("a", "b")
+    one = done.where("index").select("level", "key", F.col("hash").alias("a"))
+    return one.join(done.where("not index").select("level", "key", F.col("hash").alias("b")), ["level", "key"]).where("a <> b").select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS, full: int = 64) -> DataFrame:
@@ -279,9 +331,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one document: they don't lose lines to each other. Null texts stay null and empty ones empty, with no line and one
     line; a text that lost all lines is empty. Names of other columns don't matter. No rows give no rows.
     """
-    narrow = written(lines_of(docs, id_col, text_col).select("doc_id", "text_hash", "no", "hash", "hash2"))
-    first = written(different_lines(docs, id_col, text_col, chars))
-    links = edit_links(first, edits, chars, full)
+    lines = lines_of(docs, id_col, text_col)
+    narrow = written(_coarse_keys(lines, edits, chars).select("doc_id", "text_hash", "no", "hash", "hash2", "coarse"))
+    first = written(narrow.groupBy("hash", "hash2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    near = written(may_be_near(narrow.select("hash", "coarse")))
+    few = broadcast_if_small(near, near.count(), 1_000_000)  # of 8 bytes
+    # lines of few texts are read again: no text but theirs is shuffled for its lines
+    texts = lines.where(F.col("n") >= chars).join(few, "hash", "left_semi").groupBy("hash", "hash2", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    links = edit_links(written(texts), edits, chars, full)
     later = written(links.select(F.col("b").alias("hash"), F.col("b2").alias("hash2")).distinct()).withColumn("near", F.lit(True))
     state = first.join(later, ["hash", "hash2"], "left").where("n > 1 or near").select("hash", "hash2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     seen = narrow.join(state, ["hash", "hash2"])

@@ -317,6 +317,41 @@ def test_hot_keys_lose_no_link(spark, edits):
         assert full == 6 or {frozenset(p) for p in got} == want
 
 
+@pytest.mark.parametrize("edits, chars", [(1, 24), (2, 24), (3, 24), (3, 2)])
+def test_near_lines_share_a_coarse_key(spark, edits, chars):
+    rng = random.Random(3)
+    pairs = []
+    for k in range(600):
+        a = [rng.choice("abcdeé") for _ in range(rng.choice((chars, 2 * chars, 3 * chars, 4 * chars)) + rng.randint(-3, 3))]
+        b = list(a)
+        for _ in range(rng.randint(1, edits)):
+            i, m = rng.randrange(len(b) + 1), rng.random()
+            b[i : i + (m < 0.66)] = [rng.choice("xyé")] if m > 0.33 else []
+        pairs.append((k, "".join(a) or "a", "".join(b) or "b"))
+    df = spark.createDataFrame(pairs, "k long, a string, b string")
+    keys = {}
+    for x in "ab":
+        lines = df.select("k", F.col(x).alias("line"), F.length(x).alias("n"))
+        keys[x] = {r.k: set(r.coarse or []) - {None} for r in linededup._coarse_keys(lines, edits, chars).collect()}
+    near = [k for k, a, b in pairs if a != b and distance(a, b) <= min(edits, min(len(a), len(b)) // chars)]
+    assert len(near) > 100 and all(keys["a"][k] & keys["b"][k] for k in near)
+    assert sum(bool(keys["a"][k] & keys["a"][k + 1]) for k in range(599)) < (60 if chars == 24 else 600)
+    for x in "ab":
+        one = df.select(F.xxhash64(x).alias("hash"), F.col(x).alias("line")).where(F.length("line") >= chars).distinct()
+        cut = F.array(*(key for d in range(edits + 1) for key in linededup._segment_keys(F.col("line"), F.length("line") - d, linededup.threshold(F.length("line") - d, edits, chars), d, edits)))
+        want = one.select("hash", F.explode(cut).alias("k")).where("k is not null").select("hash", "k.key", "k.side")
+        got = linededup.key_rows(one, edits, chars)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_code_that_makes_keys_is_compiled(spark, capsys):
+    lines = linededup.lines_of(spark.range(1).selectExpr("id as doc_id", "cast(id as string) as text"))
+    for df in (linededup._coarse_keys(lines, 2, 24), linededup.key_rows(lines, 2, 24)):
+        df.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000  # Java doesn't compile greater methods
+
+
 def test_lines_that_differ_in_a_counter(spark):
     lines = [f"order no {i:04d} has been sent to the customer by our carrier" for i in range(1500)]
     got = line_links(spark, lines, edits=1)
