@@ -102,3 +102,21 @@ def test_overtaken_by_scopes(spark):
         rows = [(d, c, s) for c, d, s in edges if d in ("base", "other")]
         got = walks.overtaken(vault(spark, edges), spark.createDataFrame(rows, "dst_path string, c string, c_scope map<string,string>"))
         assert {tuple(r) for r in got.collect()} == brute_overtaken(edges, rows)
+
+
+def test_rows_of_circles_take_few_steps(spark, monkeypatch):
+    """Rings that all lead to the next one, which each node at a branch prefers forwards and backwards: not a step for each ring; and
+    stretches between two nodes of a component, of two and of none."""
+    steps = []
+    monkeypatch.setattr(strong, "saved", lambda df, own=strong.saved: (steps.append(1), own(df))[1])
+    pairs = []
+    for i in range(150):
+        a, z, b = f"{999 - i}a", f"z{i:03}c", f"z{i:03}b"
+        pairs += [(a, b), (b, z), (z, a), (a, f"{998 - i}a")]
+    pairs += [("h0", "h1"), ("h1", "h2"), ("h2", "h0"), ("h0", "s1"), ("s1", "s2"), ("s2", "h2"), ("h1", "x1"), ("x1", "x2"), ("x2", "849a"), ("h0", "g0"), ("g0", "h0")]
+    want = cyclic(pairs)
+    got = {}
+    for r in strong.strong_components(spark.createDataFrame(pairs, "s string, d string")).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert got == want and len(want) == 151 and want["g0"] == {"g0", "h0", "h1", "h2", "s1", "s2"}
+    assert len(steps) < 120
