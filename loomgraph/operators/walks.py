@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scope as sc
 from loomgraph.operators.graph import Graph
-from loomgraph.operators.order import numbered
 from loomgraph.operators.strong import id_edges, strong_components
-from loomgraph.session import Growing, saved
+from loomgraph.session import Growing, broadcast_if_small, saved
 
 
 def matching(g: Graph, scope: dict[str, str]) -> DataFrame:
@@ -171,41 +170,34 @@ def historical(g: Graph, as_of: str, scope: dict[str, str] | None = None) -> Dat
     return a.select("root", status.alias("status"), F.when(status == "active", F.col("one")).alias("active_guidance_id"))
 
 
-def discovered(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node, depth, parent, rank) of seeds(node) and what depends on them over ``edges(src, dst)``, as breadth-first searches from all
-    seeds at once find it.
-
-    Each node counts once for a seed, at its least depth, found by the dependency that was itself found first; among what one
-    finds, ids decide. ``rank`` is the place in the order of a level, so a row holds one pointer and no trail.
-    """
-    edges = saved(edges.select("src", "dst").distinct())  # read in every round
-    whole = F.lit(0).cast("long")
-    found = Growing(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), whole.alias("rank")).distinct())
-    while True:
-        nxt = found.last().join(edges.select(F.col("dst").alias("node"), F.col("src").alias("to")), "node")
-        nxt = nxt.groupBy("seed", F.col("to").alias("node")).agg(F.min(F.struct("rank", "node")).alias("by"), F.min("depth").alias("depth"))
-        nxt = nxt.join(found.all().select("seed", "node"), ["seed", "node"], "left_anti")
-        nxt = nxt.select("seed", "node", (F.col("depth") + 1).alias("depth"), F.col("by.node").alias("parent"), F.col("by.rank").alias("after"))
-        if found.add(numbered(nxt, "seed", "after", "node").withColumnRenamed("pos", "rank")).isEmpty():
-            return found.all()
-
-
-def trails(found: DataFrame, asked: DataFrame) -> DataFrame:
-    """(seed, node, trail): the way from the seed to each node of asked(seed, node), by ``discovered`` rows.
+def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, depth, trail): what depends on each of seeds(node), over ``edges(src, dst)``, each once and by the way on which a
+    breadth-first search from that seed finds it.
 
-    Only what is asked for is walked, and the walk back doubles its length in each step.
+    A node counts at its least depth, found by the dependency that was itself found first; among what one finds, ids decide. So the rows
+    of a level are in the order of their finder's place and their own id, and the finder is the one with the least place. Only nodes
+    that others depend on are put in order and carry their trail; the rest, mostly the bulk, hold their finder's place alone, and get
+    their trails from it by one join at the end.
     """
-    jump = saved(found.where("parent is not null").select("seed", F.col("node").alias("here"), F.col("parent").alias("up")))
-    way, length = Growing(asked.select("seed", "node", F.lit(0).cast("long").alias("back"), F.col("node").alias("here")).distinct()), 1
-    while not way.add(way.all().join(jump, ["seed", "here"]).select("seed", "node", (F.col("back") + length).alias("back"), F.col("up").alias("here"))).isEmpty():
-        far = jump.select("seed", F.col("here").alias("up"), F.col("up").alias("far"))
-        jump, length = saved(jump.join(far, ["seed", "up"]).select("seed", "here", F.col("far").alias("up"))), length * 2
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("place"), "here")))
-    return way.all().groupBy("seed", "node").agg(F.transform(steps, lambda x: x.here).alias("trail"))
-
-
-def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node, depth, trail): what depends on each seed, over ``edges(src, dst)``, each once and by the way on which a breadth-first
-    search finds it."""
-    found = saved(discovered(edges, seeds).where("depth > 0 or node = seed"))
-    return found.where("depth > 0").select("seed", "node", "depth").join(trails(found, found.where("depth > 0")), ["seed", "node"])
+    # joined by a hash first, then by name: names that begin alike are slow to sort
+    by_hash = lambda df, c: df.withColumn("h", F.xxhash64(c))
+    needed = by_hash(edges.select(F.col("dst").alias("src")).distinct(), "src").withColumn("inner", F.lit(True))
+    edges = by_hash(edges.select("src", "dst"), "src").join(needed, ["h", "src"], "left").select("src", "dst", F.coalesce("inner", F.lit(False)).alias("inner"))
+    edges = by_hash(saved(edges), "dst")  # read in every round
+    first = saved(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    found = Growing(first.select("seed", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("by"), F.lit(True).alias("inner")))
+    front = Growing(first.select("seed", "node", F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("place"), F.array("node").alias("trail")))
+    depth = 0
+    while n := front.last().count():
+        depth += 1
+        start = by_hash(front.last().select("seed", F.col("node").alias("dst"), "place"), "dst")
+        nxt = edges.join(broadcast_if_small(start, n), ["h", "dst"]).select("seed", F.col("src").alias("node"), F.col("place").alias("by"), "inner")
+        # what was found before comes first, and goes
+        nxt = nxt.union(found.all().select("seed", "node", F.lit(-1).cast("long"), F.lit(False)))
+        nxt = nxt.groupBy("seed", "node").agg(F.min("by").alias("by"), F.bool_or("inner").alias("inner")).where("by >= 0").withColumn("depth", F.lit(depth))
+        nxt = found.add(nxt).where("inner").join(front.last().select(F.col("place").alias("by"), "trail"), "by")
+        nxt = saved(nxt.withColumn("trail", F.array_append("trail", F.col("node"))))
+        # sorted rows lie in ascending partitions, so the number ascends with them
+        front.add(nxt.orderBy("by", "node").withColumn("place", F.monotonically_increasing_id()))
+    finder = front.all().select((F.col("depth") + 1).alias("depth"), F.col("place").alias("by"), "trail")
+    return found.all().where("depth > 0").join(finder, ["by", "depth"]).select("seed", "node", "depth", F.array_append("trail", F.col("node")).alias("trail"))

@@ -195,6 +195,25 @@ def test_impact_in_the_order_of_discovery(spark):
     assert walks.impact(edges, spark.createDataFrame([], "node string")).count() == 0
 
 
+def test_impact_orders_only_what_others_depend_on(spark, monkeypatch):
+    """30 leaves of several ways: a table with places holds the seeds and the two nodes between, and the ways are the first found."""
+    placed = []
+
+    class Seen(walks.Growing):
+        def add(self, rows):
+            out = super().add(rows)
+            placed.append(out.count() if {"rank", "place"} & set(out.columns) else 0)
+            return out
+
+    monkeypatch.setattr(walks, "Growing", Seen)
+    pairs = [("b1", "s"), ("a2", "s")] + [(f"x{i:02}", p) for i in range(30) for p in ("b1", "a2")] + [("x03", "s"), ("b1", "t")]
+    got = walks.impact(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("s",), ("t",)], "node string")).collect()
+    want = {("s", f"x{i:02}"): ["s", "a2", f"x{i:02}"] for i in range(30)} | {("t", f"x{i:02}"): ["t", "b1", f"x{i:02}"] for i in range(30)}
+    want |= {("s", "a2"): ["s", "a2"], ("s", "b1"): ["s", "b1"], ("t", "b1"): ["t", "b1"], ("s", "x03"): ["s", "x03"]}
+    assert {(r.seed, r.node): r.trail for r in got} == want and len(got) == len(want)
+    assert sum(placed) == 5
+
+
 # --- diffs and plans
 
 
