@@ -30,7 +30,9 @@ def overtaken(g: Graph, rivals: DataFrame) -> DataFrame:
     note again. It ends for a candidate that is overtaken at all its notes.
     """
     edges = saved(g.of("supersedes").select(F.monotonically_increasing_id().alias("edge"), F.col("src_path").alias("s"), F.col("dst_path").alias("d"), F.col("eff_scope").alias("e")))
-    rivals = saved(rivals.withColumn("sig", sc.signature(F.col("c_scope"))))
+    # who is the only candidate of a note has nobody to be overtaken by
+    several = rivals.groupBy("dst_path").agg((F.min("c") < F.max("c")).alias("several")).where("several").select("dst_path")
+    rivals = saved(rivals.join(several, "dst_path", "left_semi").withColumn("sig", sc.signature(F.col("c_scope"))))
     goals = rivals.select("c", "sig", "c_scope").dropDuplicates(["c", "sig"])
     state = ["c", "sig", "c_scope", "edge", "at", "e"]
     meets = lambda *more: [sc.overlaps(F.col("e"), F.col("c_scope")), *more]
@@ -63,6 +65,21 @@ def candidates(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
     return saved(hits.join(live, "c", "left").withColumn("live", F.coalesce("live", F.lit(False))))
 
 
+def turning_ids(g: Graph, asked: DataFrame) -> DataFrame:
+    """(src_id): ids on a circle of supersession, of all notes or at least those in asked(src_id).
+
+    Where no note supersedes one that is later than itself, a circle's notes are all of one day, so only edges within a day are looked at.
+    """
+    if asked.isEmpty():
+        return asked.select("src_id")
+    day = saved(g.bare.groupBy("id").agg(F.max("valid_from").alias("day")))
+    of = lambda end, name: day.select(F.col("id").alias(end), F.col("day").alias(name))
+    edges = saved(id_edges(g).join(of("s", "own"), "s").join(of("d", "other"), "d"))
+    if edges.where("not coalesce(other <= own, false)").isEmpty():
+        edges = edges.where("own = other")
+    return strong_components(edges.select("s", "d")).select(F.col("node").alias("src_id"))
+
+
 def steps(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
     """(path, kind, next_path, candidates): what comes after each note that has a successor in scope.
 
@@ -76,9 +93,12 @@ def steps(g: Graph, scope: dict[str, str] | None = None) -> DataFrame:
     rivals = hits.where("live").join(many, "dst_path", "left_semi")
     lost = overtaken(g, rivals.select("dst_path", "c", "c_scope").dropDuplicates(["dst_path", "c"]))
     left = rivals.join(lost, ["dst_path", "c"], "left_anti").groupBy("dst_path").agg(F.count("*").alias("n_left"), F.min("c").alias("one"), F.array_sort(F.collect_list("src_id")).alias("left_ids"))
-    cyclic = strong_components(id_edges(g)).select(F.col("node").alias("src_id"))
-    turning = hits.join(cyclic, "src_id", "left_semi").select("dst_path").distinct().withColumn("turns", F.lit(True))
-    t = count.join(left, "dst_path", "left").join(turning, "dst_path", "left")
+    t = saved(count.join(left, "dst_path", "left"))
+    # circles only matter where several successors are known and none of them is left
+    open_hits = hits.join(t.where("n > 1 and n_left is null").select("dst_path"), "dst_path", "left_semi").select("dst_path", "src_id")
+    turning = turning_ids(g, open_hits)
+    turning = open_hits.join(turning, "src_id", "left_semi").select("dst_path").distinct().withColumn("turns", F.lit(True))
+    t = t.join(turning, "dst_path", "left")
     n_left = F.coalesce("n_left", F.lit(0))
     kind = F.when((F.col("n") == 1) | (n_left == 1), "next").when(n_left > 1, "competing_successors").when(F.col("turns"), "supersession_cycle").when(F.col("n_live") > 0, "competing_successors").otherwise("superseded_without_active_successor")
     cand = F.when(n_left > 1, F.col("left_ids")).when(F.col("turns"), F.col("all_ids")).when(F.col("n_live") > 0, F.col("live_ids")).otherwise(F.col("all_ids"))

@@ -120,3 +120,24 @@ def test_rows_of_circles_take_few_steps(spark, monkeypatch):
         got.setdefault(r.component, set()).add(r.node)
     assert got == want and len(want) == 151 and want["g0"] == {"g0", "h0", "h1", "h2", "s1", "s2"}
     assert len(steps) < 120
+
+
+def dated(spark, rows):
+    """Notes (id, first day, ids that it replaces) in a scope that no edge meets."""
+    df = spark.createDataFrame(rows, "id string, day string, t array<string>")
+    return Graph(notes(df, id=F.col("id"), valid_from=F.col("day"), scope=F.create_map(F.lit("own"), F.lit("yes")), relations=F.transform("t", lambda x: relation("supersedes", x, None, F.create_map(F.lit("own"), F.lit("no"))))))
+
+
+def test_circles_are_looked_for_where_they_decide(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(walks, "strong_components", lambda e, own=walks.strong_components: (given.append(e.count()), own(e))[1])
+    kinds = lambda rows: {r.path: (r.kind, r.next_path) for r in walks.steps(dated(spark, rows)).collect()}
+    # of two successors one replaces the other: no circle can change that
+    assert kinds([("a", "1", []), ("b", "2", ["a"]), ("c", "3", ["a", "b"])]) == {"a": ("next", "c"), "b": ("next", "c")} and given == []
+    # two successors replace each other on one day: the three edges to earlier notes aren't looked at
+    circle = [("a", "1", []), ("b", "2", ["a", "c"]), ("c", "2", ["a", "b"]), ("d", "3", ["b"])]
+    assert kinds(circle)["a"] == ("supersession_cycle", None) and given == [2]
+    # one of a later day is replaced by an earlier one, or by one without a day: all edges are
+    for day in ("4", None):
+        given.clear()
+        assert kinds([("a", "1", []), ("b", day, ["a", "c"]), ("c", "2", ["a", "b"])])["a"] == ("supersession_cycle", None) and given == [4]
